@@ -52,14 +52,15 @@ def fold(id_col: str, n: int) -> Column:
 
 
 def per_text(
-    df: DataFrame, schema: str, make: Callable[[], Callable[[list[bytes]], dict[str, list]]], keep: list[str], text_col: str = "text"
+    df: DataFrame, schema: str, make: Callable[[], Callable[[list[bytes]], dict[str, list]]], keep: list[str], text_col: str = "text", binary: bool = False
 ) -> DataFrame:
     """Map whole texts (null: empty) to columns in Arrow batches, carrying the columns in ``keep``.
 
     ``make`` runs once per task and returns a function from a list of UTF-8 texts to new columns.
     Only ``keep`` and the text reach Python, so clashing extra columns cannot interfere.
     """
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("__text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(b"")) if binary else F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], text.alias("__text"))
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [schema])
     arrow_schema = _arrow(df.sparkSession, out_schema)
 
