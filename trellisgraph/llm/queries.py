@@ -6,20 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import chat, decontaminate, matroska, simhash, url_filter
 from .common import table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that leaks into a document."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document stored as a Matroska file and read back."""
+    return matroska.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted examples of every conversation hold, read back."""
+    return chat.read_back(chat.expand(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": op2_decontaminate,
+        "op3_matroska": op3_matroska,
+        "op7_url_cascade": op7_url_cascade,
         "op8_simhash": op8_simhash,
+        "op10_prefix_targets": op10_prefix_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontaminate": decontaminate.ORACLE_SQL,
+        "op7_url_cascade": url_filter.ORACLE_SQL,
+        "op10_prefix_targets": chat.ORACLE_SQL,
+    }
