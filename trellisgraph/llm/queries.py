@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, matroska, simhash, url_filter
-from .common import table
+from . import chat, decontaminate, langid, matroska, quality, simhash, url_filter, wfst
+from .common import fold, table
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,18 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs), ["doc_id"])
+    return found.select("doc_id", (fold("doc_id", langid.FOLDS) == langid.HELD).alias("held_out"), "lang_pred", "score")
+
+
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -30,6 +43,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    coded = wfst.encode(docs, ["doc_id", "text_sha256"])
+    return coded.select("doc_id", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the formatted examples of every conversation hold, read back."""
     return chat.read_back(chat.expand(chat.with_probe(table(spark, sf_dir, "conversations"))))
@@ -39,8 +59,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op3_matroska": op3_matroska,
+        "op4_rule_ensemble": op4_rule_ensemble,
+        "op6_byte_cnn": op6_byte_cnn,
         "op7_url_cascade": op7_url_cascade,
         "op8_simhash": op8_simhash,
+        "op9_wfst": op9_wfst,
         "op10_prefix_targets": op10_prefix_targets,
     }
 
