@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, matroska, quality, simhash, url_filter, wfst
+from . import chat, decontaminate, langid, lm, matroska, quality, simhash, url_filter, wfst
 from .common import fold, table
 
 
@@ -26,6 +26,11 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_matroska": op3_matroska,
         "op4_rule_ensemble": op4_rule_ensemble,
+        "op5_log_bilinear": op5_log_bilinear,
         "op6_byte_cnn": op6_byte_cnn,
         "op7_url_cascade": op7_url_cascade,
         "op8_simhash": op8_simhash,
