@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm, matroska, quality, simhash, url_filter, wfst
+from . import chat, decontaminate, html_extract, langid, lm, matroska, quality, simhash, url_filter, wfst
 from .common import fold, table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that leaks into a document."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -62,6 +67,7 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_decontaminate": op2_decontaminate,
         "op3_matroska": op3_matroska,
         "op4_rule_ensemble": op4_rule_ensemble,
