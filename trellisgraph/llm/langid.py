@@ -188,15 +188,15 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     return ByteConvolution(languages).train(chosen, truth[pick])
 
 
-def identify(docs: DataFrame, model: ByteConvolution, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` plus lang_pred and score (0 to 1) for every whole text; null and letterless texts: ``und`` and 0."""
+def identify(docs: DataFrame, model: ByteConvolution, keep: list[str], text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """``keep`` plus the predicted language and its score (0 to 1) for every whole text; null and letterless texts: ``und`` and 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
 
     def make():
         def apply(texts):
             lang, score = shared.value.predict(texts)
-            return {"lang_pred": lang, "score": score}
+            return {lang_name: lang, score_name: score}
 
         return apply
 
-    return per_text(docs, "lang_pred string, score double", make, keep, text_col)
+    return per_text(docs, f"{lang_name} string, {score_name} double", make, keep, text_col)

@@ -38,6 +38,8 @@ STATISTICS = [
 _CLASS = np.zeros((256, 8))
 for _i, _chars in enumerate((range(65, 91), range(48, 58), b"#$%&*+<=>@\\^_`{}~[]/", b"|", b"!?", b".,;:", range(128, 256), [*range(97, 123), *range(65, 91), *range(128, 256)])):
     _CLASS[list(_chars), _i] = 1
+#: Names of the columns of statistics begin with this.
+PREFIX = "__s_"
 #: Words of the stretches over which shares of distinct words are taken, so that they do not fall with length.
 NEAR, FAR = 64, 320
 
@@ -67,11 +69,11 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") ->
     def make():
         def apply(texts):
             columns = np.array([statistics_of(t) for t in texts]).reshape(len(texts), len(STATISTICS)).T
-            return dict(zip([f"s_{s}" for s in STATISTICS], columns, strict=True))
+            return dict(zip([f"{PREFIX}{s}" for s in STATISTICS], columns, strict=True))
 
         return apply
 
-    return per_text(docs, ", ".join(f"s_{s} double" for s in STATISTICS), make, keep, text_col)
+    return per_text(docs, ", ".join(f"{PREFIX}{s} double" for s in STATISTICS), make, keep, text_col)
 
 
 #: A condition: (statistic, whether values up to the bound fit (else those above), bound).
@@ -84,12 +86,12 @@ class RuleEnsemble:
     rules: list[tuple[tuple[Condition, ...], float]]
 
     def score(self) -> Column:
-        """The probability of label 1 over columns s_<statistic>."""
+        """The probability of label 1 over the columns of statistics."""
         total = F.lit(self.bias)
         for conditions, weight in self.rules:
             holds = F.lit(True)
             for name, low, bound in conditions:
-                c = F.col(f"s_{name}")
+                c = F.col(f"{PREFIX}{name}")
                 holds = holds & ((c <= bound) if low else (c > bound))
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -180,7 +182,7 @@ def fit(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     """Rules from the labelled rows whose fold is not ``held``. Null labels and ids do not count."""
     known = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("double").alias("__y")).where("__y is not null")
     rows = statistics.where(fold(id_col, folds) != held).join(known, F.col(id_col) == F.col("__id"))
-    columns = [f"s_{s}" for s in STATISTICS]
+    columns = [f"{PREFIX}{s}" for s in STATISTICS]
     sample = rows.select(F.xxhash64("__id").alias("__h"), *columns, "__y").orderBy("__h", *columns, "__y").limit(SAMPLE_ROWS).toPandas()
     return fit_rules(sample[columns].to_numpy(float), (sample["__y"].to_numpy(float) >= 0.5).astype(float))
 

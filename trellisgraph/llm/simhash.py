@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group: the smallest id; of repeated rows with that id, one. Columns and types stay."""
     groups = near_duplicates(docs, id_col, text_col)
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    chosen = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("__rows"))
+    chosen = materialize(chosen, "simhash-kept")
+    kept = docs.join(chosen.select("__keep"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    return kept if chosen.where("__rows > 1").isEmpty() else kept.dropDuplicates([id_col])
