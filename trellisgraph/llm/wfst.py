@@ -273,6 +273,8 @@ def _loaded(model: bytes) -> Transducer:
 def encode(docs: DataFrame, keep: list[str], model_file: str = DEFAULT_MODEL, text_col: str = "text") -> DataFrame:
     """``keep`` plus ids, n_tokens and decoded, for every row; null and empty texts have no ids and decode to ''.
 
+    Decoding gives the text back, but for U+2581 in it, which the format reads as a space.
+
     The model file is read once on the driver and sent to the executors (half a megabyte).
     """
     with open(model_file, "rb") as f:
