@@ -1,10 +1,10 @@
 """Main text of web pages by the maximum-scoring subsequence of their words and tags.
 
 A page becomes a sequence of tokens: words of visible text score positive, tags and whole boilerplate elements score
-negative, with weights that depend on a token's class (``word``, ``word-article``, ``word-outside``, ``word-link``, ``tag-block``,
-``tag-inline``, ``tag-link``, ``tag-end``, ``chrome``). Weights are log-odds, learned from labelled pages (``LABELLED``:
-pages whose main text lies between marks); signs are kept as the method has them except for words whose class speaks
-against them, links and words beside an article. One linear scan finds the contiguous region with the largest sum, and
+negative, with weights that depend on a token's class (``word``, ``word-link``, ``tag-block``, ``tag-inline``,
+``tag-link``, ``tag-end``, ``chrome``; on pages with an article the same ``-article`` within it and ``-outside`` beside it). Weights are log-odds, learned from labelled pages (``LABELLED``:
+pages whose main text lies between marks). Signs are the method's, words positive and tags negative, but for words whose
+class speaks against them: links, and words beside an article. One linear scan finds the contiguous region with the largest sum, and
 the text of that region is the result, without the boilerplate elements inside it.
 
 Boilerplate elements are known by their tag (scripts, styles, menus, asides, forms, ...), by words of their class, id or
@@ -62,6 +62,8 @@ LABELLED = [
     "<div class=menu><a href=a>Start</a> <a href=b>Shop</a> <a href=c>Contact</a></div><div><!--main--><h1>How bread rises</h1><p>Yeast eats the sugar of the flour and breathes out gas, which the dough holds in many small bubbles.</p><div class=ad>Buy our flour today and save</div><p>Warmth helps the yeast, so bakers let dough rest near the oven until it has doubled.</p><ul><li>Keep it warm and out of the wind.<li>Do not hurry the dough.</ul><!--/main--></div><div id=sidebar><a href=d>Old posts</a> <a href=e>Recipes</a></div>",
     "<main><!--main--><h2>Minutes of the council</h2><p>The council met at eight and heard the report on the schools of the district.</p><blockquote>We need more rooms, said the head of the school board.</blockquote><p>A vote will follow in the coming month.</p><!--/main--></main><div><h3>More</h3><a href=x>Weather</a><br><a href=y>Sport</a></div><div><p>Write to us at the desk.</p></div>",
     "<header><a href=/>Logo</a><form><input name=q><button>Search</button></form></header><article><!--main--><h1>Stars</h1><p>Stars shine because hydrogen turns to helium deep within them, and light takes long to leave.</p><table><tr><td>Sun<td>yellow<tr><td>Vega<td>white</table><p>Their colour tells how hot they are at the surface.</p><!--/main--></article><section class=comments><p>Great text, thanks for it!</p><p>I do not agree with this at all.</p></section><p>All rights reserved by the owner of this site.</p>",
+    "<div><a href=z>Top</a></div><article><!--main--><h1>Glass</h1><p>Glass is made of sand.</p><div class=promo>Sign up</div><p>Heat <em>melts</em> it.</p><aside>Aside</aside><p>Tin keeps it <a href=q>flat</a>.</p><!--/main--></article><nav>Pages</nav><div>Made with care</div>",
+    "<p><a href=u>Up</a></p><!--main--><h1>Wind</h1><h2>Why</h2><p>Warm air rises.</p><p>Cool air follows.</p><ul><li>Day<li>Night</ul><p>So <i>wind</i> blows from sea to land by <a href=s>day</a>.</p><dl><dt>Gale<dd>strong wind</dl><!--/main--><script>x()</script><a href=v>Imprint</a><hr>",
     "<table><tr><td><a href=1>A</a><br><a href=2>B</a><br><a href=3>C</a></td><td><!--main--><p>On this page I keep notes about the trains that ran through our valley until the line was closed.<br>They were slow, but on time.</p><p>Most engines were built before the war and ran for fifty years with little repair.</p><!--/main--></td></tr></table><center><a href=4>Back</a> | <a href=5>Next</a></center>",
 ]
 
@@ -79,6 +81,9 @@ class Page:
         tokens = self.tokens
         at = 0
 
+        def suffix(article: bool) -> str:
+            return "-article" if article else "-outside" if has_article else ""
+
         def text(raw: str) -> None:
             if not raw:
                 return
@@ -86,14 +91,14 @@ class Page:
             if chrome:
                 return
             words = len(raw.split())
-            name = "word-article" if article else "word-outside" if has_article else "word-link" if link else "word"
+            name = "word" + (suffix(article) or "-link" * link)
             tokens.append((name, words, "t", raw))
 
         def pop_to(depth: int) -> None:
             while len(stack) > depth:
                 name, chrome, _, _ = stack.pop()
                 if not chrome:
-                    tokens.append(("tag-end", 1, "b" if name in BLOCK else "", ""))
+                    tokens.append(("tag-end" + suffix(bool(stack) and stack[-1][2]), 1, "b" if name in BLOCK else "", ""))
 
         size = len(source)
         while at < size:
@@ -147,10 +152,10 @@ class Page:
             if not chrome:
                 own = _is_chrome(name, attributes, article)
                 if own and name not in VOID:
-                    tokens.append(("chrome", 1, "b" if name in BLOCK or name in ("script", "style") else "", ""))
+                    tokens.append(("chrome" + suffix(article), 1, "b" if name in BLOCK or name in ("script", "style") else "", ""))
                 elif not own:
                     kind = "tag-link" if name == "a" else "tag-block" if name in BLOCK else "tag-inline"
-                    tokens.append((kind, 1, "b" if name in BLOCK else "s" if name == "br" else "", ""))
+                    tokens.append((kind + suffix(article), 1, "b" if name in BLOCK else "s" if name == "br" else "", ""))
                 chrome = own
             if name in RAW:
                 end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
