@@ -158,6 +158,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 0) -> RuleEnsemble:
         _grow(binned, cuts, y - p, p * (1 - p), pick, (), DEPTH, step, rules)
         margin += step
     paths = sorted({_simplify(r) for r in rules})
+    if not paths:
+        return RuleEnsemble(bias, [])
     design = np.stack([_holds(x, p) for p in paths], axis=1).astype(float)
     _, first = np.unique(design, axis=1, return_index=True)  # equal columns once
     paths, design = [paths[i] for i in sorted(first)], design[:, sorted(first)]
