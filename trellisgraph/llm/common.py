@@ -51,6 +51,17 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by the hash of a key, and never over twice as many; the same ones on every run.
+
+    Nothing is sorted and no task sends more than its share, however many partitions there are.
+    """
+    total = df.count()
+    share = min(1.0, rows / max(total, 1))
+    chosen = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int(share * (1 << 31)))
+    return chosen.limit(2 * rows) if chosen.count() > 2 * rows else chosen
+
+
 def per_text(
     df: DataFrame, schema: str, make: Callable[[], Callable[[list[bytes]], dict[str, list]]], keep: list[str], text_col: str = "text", binary: bool = False
 ) -> DataFrame:

@@ -5,8 +5,8 @@ widest filter; the last is padded with zeros). Bytes are embedded, filters of se
 bytes at a time (the stride), each filter keeps its maximum over the window after a rectifier, and a softmax gives the languages'
 probabilities. A text's log-probabilities are the mean over its windows, weighted by their letters.
 
-Training uses a bounded, documented sample of labelled rows: at most ``SAMPLE_ROWS`` of the training folds, those with the smallest
-hash of the text, and at most ``SAMPLE_WINDOWS`` windows. Everything else covers all rows.
+Training uses a bounded, documented sample of labelled rows: about ``SAMPLE_ROWS`` of the training folds, chosen by the hash of the
+id (never over twice as many), and at most ``SAMPLE_WINDOWS`` windows. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, per_text
+from .common import bounded_sample, fold, per_text
 
 WINDOW = 128
 WIDTHS = (2, 4, 6)
@@ -165,10 +165,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
     No labelled row at all gives a network that knows only the undetermined language.
     """
-    rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), fold(id_col, folds).alias("fold"))
-    known = rows.where((F.col("fold") != held) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    # The smallest hashes: a fixed sample that a top-k picks without sorting the table. Long texts lend a stretch each.
-    sample = known.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, 2000).alias("part")).orderBy("h", "lang").limit(SAMPLE_ROWS).toPandas()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), fold(id_col, folds).alias("fold"))
+    known = rows.where((F.col("fold") != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("id", "lang", "text")
+    # Long texts lend a stretch each to the training windows.
+    sample = bounded_sample(known, "id", SAMPLE_ROWS).select("id", "lang", F.substring("text", 1, 2000).alias("part")).toPandas()
+    sample = sample.sort_values(["id", "lang", "part"])
     languages = sorted(set(sample["lang"]))
     if not languages:
         return ByteConvolution([UNDETERMINED])
@@ -179,6 +180,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         windows.append(w)
         labels.append(np.full(len(w), languages.index(lang)))
     stacked, truth = np.concatenate(windows), np.concatenate(labels)
+    if not len(stacked):
+        return ByteConvolution([UNDETERMINED])
     full = np.flatnonzero(_LETTER[stacked].sum(1) >= 16)
     pick = rng.permutation(full)[:SAMPLE_WINDOWS]
     # Cut some windows short, so that short texts are learned as well.
