@@ -199,8 +199,18 @@ _MISSING = _Forever()
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     """From the written table of counts. Collects at most ``frequent`` words and one row for each class."""
-    # The end token always comes first; ties by the word.
-    top = counts.where("total > 0").orderBy((F.col("word") == F.lit(END)).desc(), F.desc("total"), "word").limit(frequent).toPandas()
+    # Frequencies fall into at most 1000 classes; as many of the highest as hold no more words than allowed are taken.
+    level = F.floor(F.log2("total") * 16)
+    sizes = sorted(((r.level, r.n) for r in counts.where("total > 0").groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    lowest, taken = float("inf"), 0
+    for at, n in sizes:
+        taken += n
+        if taken > frequent:
+            break
+        lowest = at
+    top = counts.where((F.col("word") == F.lit(END)) | (F.col("total") > 0) & (level >= (lowest if sizes and lowest < float("inf") else 1 << 20))).toPandas()
+    top["end"] = [bytes(w) != END for w in top["word"]]  # the end token comes first, ties go by the word
+    top = top.sort_values(["end", "total", "word"], ascending=[True, False, True])
     words = [bytes(w) for w in top["word"]]
     train = top["train"].to_numpy(np.int64)
     own = [i for i in np.argsort(-train, kind="stable").tolist() if train[i] > 0][:OWN]
