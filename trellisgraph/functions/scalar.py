@@ -33,6 +33,8 @@ class E:
     variants: list | None = None
     #: For elements, lists of elements and paths: what they belong to.
     binding: object = None
+    #: Of float arithmetic: the value before the check that it is finite.
+    raw: Column | None = None
 
 
 def spark_type(t) -> str:
@@ -208,8 +210,13 @@ def _arithmetic(op: str, a: E, b: E) -> E:
         if op == "/":
             return E(F.call_function("div", a.col, b.col), "int")
         return E({"+": a.col + b.col, "-": a.col - b.col, "*": a.col * b.col}[op], "int")
-    x, y = widened(a, "float").col, widened(b, "float").col
-    return E(finite({"+": x + y, "-": x - y, "*": x * y, "/": x / y}[op]), "float")
+    # +, - and * carry a non-finite operand on, so one check at the end is enough; a divisor is checked before it is used,
+    # as it could hide there. This keeps expressions linear in the length of the query.
+    left, right = widened(a, "float"), widened(b, "float")
+    x = left.col if left.raw is None else left.raw
+    y = right.col if right.raw is None or op == "/" else right.raw
+    raw = {"+": x + y, "-": x - y, "*": x * y, "/": x / y}[op]
+    return E(finite(raw), "float", raw=raw)
 
 
 def negate(x: E) -> E:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidQuery, UnsupportedFeature
 from ..functions.scalar import compare, spark_type
 from ..lang.nodes import Alternatives, EdgePattern, Group, Match, NodePattern, PathPattern, Quantifier
-from ..plans.binder import Context, bind, boolean, label_matches, labeled, names_in, property_of
+from ..plans.binder import Context, bind, boolean, label_matches, labeled, names_in, properties_in, property_of
 from ..plans.scope import Element, GraphRef, PathValue, Scalar, Table, check_new, fresh, typed_null
 from ..sources.graph import ID, SOURCE, TARGET, spark_kind, unified
 
@@ -51,8 +51,11 @@ def array_of(parts: list) -> Column:
     return pieces[0] if len(pieces) == 1 else F.concat(*pieces)
 
 
-def apart(a: tuple, b: tuple) -> Column:
-    """Two parts share no element."""
+def apart(a: tuple, b: tuple, sources: dict[str, frozenset]) -> Column:
+    """Two parts share no element. Parts from different fragments never do, and then their ids need not be read."""
+    one, other = sources.get(a[1]), sources.get(b[1])
+    if one is not None and other is not None and not one & other:
+        return F.lit(True)
     if a[0] and b[0]:
         return ~F.arrays_overlap(a[1], b[1])
     if a[0] or b[0]:
@@ -130,6 +133,8 @@ class Matcher:
         self.wanted = wanted
         self.different = different
         self.spark = context.session.spark
+        #: Fragments that the edges of a column can come from; columns that are not here may hold any edge.
+        self.sources: dict[str, frozenset] = {}
         #: Predicates whose names are not all bound yet.
         self.waiting: list = []
         self.fresh_names: set[str] = set()
@@ -152,7 +157,7 @@ class Matcher:
             if self.different:
                 for a in used:
                     for b in edges:
-                        table = table.where(apart(a, b))
+                        table = table.where(apart(a, b, self.sources))
             used += edges
         table = self.flush(table, last=True)
         if match.where is not None:
@@ -162,7 +167,14 @@ class Matcher:
     def by_key(self, table: Table, trees: list, compute, how: str = "inner"):
         """``compute`` over the distinct input values that the trees read, joined back to every input row."""
         names = set().union(*[names_in(t) for t in trees]) & set(table.scope)
-        scope = {n: table.scope[n] for n in table.scope if n in names}
+        read = set().union(*[properties_in(t) for t in trees])
+
+        def trimmed(b):
+            """Of an element only the properties that the trees read: fewer columns to tell apart."""
+            return replace(b, properties={k: v for k, v in b.properties.items() if k in read}) if isinstance(b, Element) else b
+
+        scope = {n: (table.scope[n][0], trimmed(table.scope[n][1])) for n in table.scope if n in names}
+        sure = {b.id for _, b in scope.values() if isinstance(b, Element) and not b.conditional}
         columns = list(dict.fromkeys(c for _, b in scope.values() for c in b.columns()))
         keys = list(dict.fromkeys(c for _, b in scope.values() for c in ([b.id] if isinstance(b, Element) else b.columns())))
         if columns:
@@ -173,9 +185,10 @@ class Matcher:
         added = [c for c in dict.fromkeys([c for n, (_, b) in found.scope.items() if n not in scope for c in b.columns()] + [c for _, c in extra]) if c not in columns]
         renamed = {k: fresh("key") for k in keys}
         right = found.df.select(*[F.col(k).alias(r) for k, r in renamed.items()], *added)
-        on = F.lit(True)
+        on = F.lit(True) if not renamed else None
         for k, r in renamed.items():
-            on = on & F.col(k).eqNullSafe(F.col(r))
+            same = F.col(k) == F.col(r) if k in sure else F.col(k).eqNullSafe(F.col(r))
+            on = same if on is None else on & same
         joined = table.df.join(right, on, how) if renamed or not table.unit or how != "inner" else right
         if not renamed and how == "inner" and not table.unit:
             joined = table.df.crossJoin(right)
@@ -229,6 +242,9 @@ class Matcher:
         ranked = table.df.withColumn(length, size).withColumn(rank, F.dense_rank().over(window) if kind == "groups" else F.row_number().over(window))
         return Table(ranked.where(F.col(rank) <= k).drop(rank, length), table.scope)
 
+    def edge_fragments(self, edge: EdgePattern) -> frozenset:
+        return frozenset(i for i, f in enumerate(self.graph.data.edges) if label_matches(f.labels, edge.labels))
+
     # Bounds
 
     def check_bounds(self, pattern: PathPattern) -> None:
@@ -324,6 +340,7 @@ class Matcher:
             return self.expand(table, state, edge, mode)
         known = table.find(edge.var) if edge.var else None
         rows, element, source, target = scan(self.graph, "edge", edge.labels, self.wanted, edge.directions, self.spark)
+        self.sources[element.id] = self.edge_fragments(edge)
         state = state.copy()
         on = F.lit(True)
         if state.end:
@@ -343,7 +360,7 @@ class Matcher:
             repeat = known is not None and any(c == known.id for _, c in state.edges)
             table = table.where(F.lit(False)) if repeat else table
             for part in state.edges:
-                table = table.where(apart(part, (False, element.id)))
+                table = table.where(apart(part, (False, element.id), self.sources))
         state.edges.append((False, element.id))
         state.nodes.append((False, target))
         state.end = target
@@ -363,9 +380,11 @@ class Matcher:
         carried = [*table.columns(), *[c for _, c in state.nodes + state.edges], state.start, state.end]
         carried = [c for c in dict.fromkeys(carried) if c]
         nodes, edges, end = fresh("nodes"), fresh("edges"), fresh("end")
+        self.sources[edges] = self.edge_fragments(edge)
 
         def step(level: DataFrame) -> DataFrame:
             rows, element, source, target = scan(self.graph, "edge", edge.labels, self.wanted, edge.directions, self.spark)
+            self.sources[element.id] = self.edge_fragments(edge)
             df = level.join(rows, F.col(end) == F.col(source))
             here = Table(df, table.scope)
             if edge.var:
@@ -377,7 +396,7 @@ class Matcher:
             if self.different or mode == "trail":
                 here = here.where(~F.array_contains(edges, F.col(element.id)))
                 for part in state.edges:
-                    here = here.where(apart(part, (False, element.id)))
+                    here = here.where(apart(part, (False, element.id), self.sources))
             before = F.concat(array_of(state.nodes), F.col(nodes))
             if mode == "acyclic":
                 here = here.where(~F.array_contains(before, F.col(target)))

@@ -162,7 +162,7 @@ def refresh(runner, table: Table) -> Table:
             if b.kind == "edge":
                 rows = rows.drop(source, target).dropDuplicates([element.id])
             df = df.join(rows, F.col(b.id) == F.col(element.id), "left")
-            rescanned[b.id] = replace(element, conditional=b.conditional)
+            rescanned[b.id] = replace(element, conditional=True)
         scope[key] = (display, rescanned[b.id])
     return Table(df, scope)
 

@@ -219,7 +219,7 @@ class Runner:
         if kind == "edge":
             rows = rows.dropDuplicates([element.id])  # both ways of undirected edges
         df = table.df.join(rows, F.col(column) == F.col(element.id), "left")
-        return Table(df, table.scope).bind(name, element)
+        return Table(df, table.scope).bind(name, replace(element, conditional=True))
 
     def c_page(self, clause, table, schema) -> Table:
         return self.page(table, clause.items)
