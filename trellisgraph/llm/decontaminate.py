@@ -150,36 +150,42 @@ def find_leaks(
     Null and empty documents and items match nothing. Repeated item rows count once; repeated document rows each give
     their rows. An empty table on either side gives an empty result.
     """
-    spark = docs.sparkSession
     out = None
-    block: list[tuple[int, bytes]] = []
-    size = 0
-
-    def search(block: list[tuple[int, bytes]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Sketches(block, threshold))
+    for sketches in _blocks(docs, items, threshold, item_col, item_text_col):
+        found = _with_leaks(docs, [id_col], text_col, sketches).select(F.col(id_col), F.explode("__leaks").alias("leak")).select(id_col, "leak.*")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
-        def make():
-            sketches, hashes = shared.value, _WordHashes()
-            return lambda texts: {"leaks": [[{"item_id": i, "n_shingles": n, "n_found": f} for i, n, f in sketches.matches(words_of(t), hashes)] for t in texts]}
-
-        found = per_text(docs, "leaks array<struct<item_id: bigint, n_shingles: bigint, n_found: bigint>>", make, [id_col], text_col)
-        found = found.select(F.col(id_col), F.explode("leaks").alias("leak")).select(id_col, "leak.*")
-        return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
+def _blocks(docs: DataFrame, items: DataFrame, threshold: float, item_col: str, item_text_col: str) -> Iterator:
+    """Broadcast sketches of the items, block by block; one empty block if there are none."""
     rows = items.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t")).distinct()
+    block: list[tuple[int, bytes]] = []
+    size, sent = 0, False
     for row in rows.toLocalIterator():
         block.append((row.i, row.t.encode()))
         size += len(block[-1][1]) + 64
         if size >= BLOCK_ITEM_BYTES:
-            out = search(block) if out is None else out.unionByName(search(block))
-            block, size = [], 0
-    return search(block) if out is None else out.unionByName(search(block)) if block else out
+            yield docs.sparkSession.sparkContext.broadcast(Sketches(block, threshold))
+            block, size, sent = [], 0, True
+    if block or not sent:
+        yield docs.sparkSession.sparkContext.broadcast(Sketches(block, threshold))
+
+
+def _with_leaks(docs: DataFrame, keep: list[str], text_col: str, shared) -> DataFrame:
+    def make():
+        sketches, hashes = shared.value, _WordHashes()
+        return lambda texts: {"__leaks": [[{"item_id": i, "n_shingles": n, "n_found": f} for i, n, f in sketches.matches(words_of(t), hashes)] for t in texts]}
+
+    return per_text(docs, "__leaks array<struct<item_id: bigint, n_shingles: bigint, n_found: bigint>>", make, keep, text_col)
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The documents into which no item leaks; a row goes if any row of its id leaks. Null ids are kept only if clean."""
-    leaking = find_leaks(docs, items, id_col=id_col, text_col=text_col, **names).select(F.col(id_col).alias("__leak")).distinct()
-    return docs.join(leaking, F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows into whose text no item leaks, with the columns they have. Each row is judged where it is read: no join."""
+    kept = docs
+    for sketches in _blocks(docs, items, threshold, item_col, item_text_col):
+        kept = _with_leaks(kept, docs.columns, text_col, sketches).where(F.size("__leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept
 
 
 #: The exact rule as SQL, over whole tables.
