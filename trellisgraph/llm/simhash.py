@@ -232,5 +232,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = near_duplicates(docs, id_col, text_col)
     chosen = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("__rows"))
     chosen = materialize(chosen, "simhash-kept")
-    kept = docs.join(chosen.select("__keep"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    # Always a sorted merge: a list that is broadcast while it is small would make costs jump with size.
+    kept = docs.join(chosen.select("__keep").hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
     return kept if chosen.where("__rows > 1").isEmpty() else kept.dropDuplicates([id_col])
