@@ -53,6 +53,8 @@ CHROME_WORDS = {
     "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "search",
     "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "tracking", "warning", "widget",
 }
+#: With these a class tells a state of the page ("has-sidebar", "comments-open"), not what an element is.
+STATE_WORDS = {"has", "with", "without", "no", "enabled", "disabled", "open", "closed", "free", "on", "off"}
 #: Start tags that close an open element of the same kind.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -186,14 +188,18 @@ class Page:
 def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
     if name in CHROME_TAGS:
         return not (name == "header" and in_article)
-    if not attributes or name in ("html", "body", "main", "article"):
+    if not attributes or name in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
-            if any(w.lower() in CHROME_WORDS for w in _PART.findall(value)):
-                return True
+            for token in value.split():
+                parts = [w.lower() for w in _PART.findall(token)] if name != "article" else [token.lower()]
+                if not STATE_WORDS.isdisjoint(parts):
+                    continue
+                if not CHROME_WORDS.isdisjoint(parts):
+                    return True
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
