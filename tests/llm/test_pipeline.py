@@ -21,7 +21,7 @@ def test_stages(spark, small):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
         outputs.append((before, docs))
-    language, good, distinct, clean, tokens = outputs
+    _, good, distinct, clean, tokens = outputs
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     kept = {r.doc_id for r in good[1].collect()}
     known = [r.doc_id for r in good[0].collect() if r.doc_id in labels]

@@ -8,7 +8,6 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from trellisgraph.llm import decontaminate, langid, lm, matroska, quality, queries, simhash, wfst
 

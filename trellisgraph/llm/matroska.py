@@ -133,7 +133,7 @@ def vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
     return value if keep else value - (1 << 7 * width), width, at + width
 
 
-def elements(data: bytes, at: int, end: int, parent: int = 0) -> Iterator[tuple[int, int, int, int]]:
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(id, its offset, start and end of its data) of each child. A child of unknown size ends where its level does."""
     while at < end:
         begin = at
@@ -206,9 +206,9 @@ def parse(data: bytes) -> Media:
             out.packets.append((track, (cluster_time + ticks) * out.scale + i * step, at, size, bool(flags & 0x80) if key is None else key, len(out.clusters) - 1, flags >> 1 & 3))
             at += size
 
-    def walk(at: int, end: int, parent: int, state: dict) -> None:
+    def walk(at: int, end: int, state: dict) -> None:
         nonlocal base
-        for code, begin, a, b in elements(data, at, end, parent):
+        for code, begin, a, b in elements(data, at, end):
             if code == SEGMENT:
                 base = a
             if code == CLUSTER:
@@ -218,7 +218,7 @@ def parse(data: bytes) -> Media:
             if code == BLOCK_GROUP:
                 inner = {"time": state["time"], "key": not any(c[0] == REFERENCE for c in elements(data, a, b))}
             if code in _PARENTS:
-                walk(a, b, code, inner)
+                walk(a, b, inner)
             if code == TRACK:
                 out.tracks[inner.get("number", 0)] = inner
             elif code == CUE_POINT:
@@ -235,7 +235,7 @@ def parse(data: bytes) -> Media:
                 packets(a, b, state["time"], None)
             elif code == BLOCK:
                 packets(a, b, state["time"], state["key"])
-            elif code in (CODEC,):
+            elif code == CODEC:
                 state["codec"] = data[a:b].decode()
             elif code == SAMPLING:
                 state["rate"] = real(a, b)
@@ -244,7 +244,7 @@ def parse(data: bytes) -> Media:
                 if name:
                     state[name] = number(a, b)
 
-    walk(0, len(data), 0, {})
+    walk(0, len(data), {})
     return out
 
 
@@ -260,7 +260,7 @@ def feature(data: bytes, media: Media, stored: bytes) -> str:
 
     track = media.tracks[1]
     signal = np.frombuffer(stored, np.uint8).astype(np.int64)
-    indexed = sum(c[2] in set(media.clusters) for c in media.cues) if len(media.cues) < 64 else len({c[2] for c in media.cues} & set(media.clusters))
+    indexed = len({c[2] for c in media.cues} & set(media.clusters))
     crossings = int(np.count_nonzero((signal[1:] >= 128) != (signal[:-1] >= 128)))
     return (
         f"{media.doc_type};{track['codec']};{track['rate']:.0f}Hz;{track['channels']}ch;{track['bits']}bit;packets={len(media.packets)};laced={sum(p[6] > 0 for p in media.packets)};"
