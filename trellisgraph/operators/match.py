@@ -262,7 +262,7 @@ class Matcher:
                 if q and not q.questioned and q.high is None and not self.different:
                     raise UnsupportedFeature("an unbounded group of repeatable elements")
 
-    def limit(self, q: Quantifier, mode: str, selective_walk: bool = False) -> int:
+    def limit(self, q: Quantifier, mode: str) -> int:
         if q.high is not None:
             return q.high
         if self.different or mode == "trail":
@@ -485,12 +485,6 @@ class Matcher:
             table = Table(df, table.scope).bind(group.var, PathValue(n, e, self.graph))
         return table, state
 
-    def folded(self, table: Table, state: State, scope: dict, keep: list[str]):
-        """Collapse what a branch added to arrays: (columns, new bindings by name)."""
-        nodes, edges = array_of(state.nodes), array_of(state.edges)
-        new = {n: v for n, v in table.scope.items() if n not in scope}
-        return nodes, edges, new
-
     def repeat(self, table: Table, state: State, group: Group, mode: str):
         q = group.quantifier
         if state.open or not state.end:

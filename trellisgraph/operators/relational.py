@@ -308,7 +308,7 @@ class Runner:
         scope: dict = {}
         for name, ast, value in values:
             out = self.named(Table(out.df, {**out.scope}), name + "\0", value)
-            display, binding = out.scope.pop((name + "\0").lower())
+            _, binding = out.scope.pop((name + "\0").lower())
             scope[name.lower()] = (name, binding)
             known[folded(ast)] = bound(binding)
         if res.distinct:
