@@ -199,9 +199,10 @@ def patch(runner, clause: Clause, table: Table) -> Table:
         columns = [F.col(element.id).alias("__patch_id"), F.col(element.fragment).alias("__patch_fragment")]
         columns += [(v.col if v is not None else F.lit(None).cast("string")).alias(f"__patch_{i}") for i, v in enumerate(values.values())]
         changes = session.freeze(table.df.select(*columns).where(F.col(element.id).isNotNull()).distinct())
-        if not changes.groupBy("__patch_id").count().where("count > 1").isEmpty():
+        counted = changes.groupBy("__patch_fragment", "__patch_id").count().groupBy("__patch_fragment").agg(F.count("*"), F.max("count")).collect()  # one row for each fragment
+        if any(most > 1 for _, _, most in counted):
             raise InvalidQuery("one element is given different values")
-        counts = {r[0]: r[1] for r in changes.groupBy("__patch_fragment").count().collect()}  # one row for each fragment
+        counts = {number: n for number, n, _ in counted}
         runner.affected += sum(counts.values())
         fragments = list(data.fragments(element.kind))
         moved = []
@@ -234,7 +235,8 @@ def patch(runner, clause: Clause, table: Table) -> Table:
                     continue
                 out.append(F.when(F.col("__hit"), after.cast(spark_kind(t))).otherwise(before.cast(spark_kind(t))).alias(name))
             written = session.freeze(joined.select(*fixed, *out))
-            written, layout = without_empty(written, layout)
+            if plan["all"] or any(v is None or not v.literal or v.value is None for v in values.values()):
+                written, layout = without_empty(written, layout)
             new = Fragment(written, labels, f.directed, tuple(layout))
             if stays:
                 fragments[number] = new
