@@ -2,7 +2,8 @@
 
 Words: A-Z lower-cased, ASCII punctuation, white space and control characters separate; shingles are ``WIDTH`` = 5 words
 (an item of fewer words is one shingle of its own length). An item leaks into a document if at least ``THRESHOLD`` = 0.8
-of its distinct shingles occur there.
+of its distinct shingles occur there. These words are those of ``ORACLE_SQL``; ``drop_leaking``, which the pipeline uses, folds
+case and separates words by Unicode.
 
 Search: items are partitioned by size (powers of two of the distinct shingle count, and the shingle width). Every item is
 sketched by its k smallest shingle hashes (bottom-k MinHash), where k = floor(0.2 * largest size of the partition) + 1. A
@@ -44,6 +45,15 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def folded_words_of(text: bytes) -> list[bytes]:
+    """Normalised words of a UTF-8 text by Unicode: case folded, all but letters and digits separate."""
+    if not text.isascii():
+        whole = text.decode("utf-8", "replace").casefold()
+        apart = [c for c in set(whole) if c > "\x7f" and not c.isalnum()]
+        text = (whole.translate(dict.fromkeys(map(ord, apart), " ")) if apart else whole).encode()
+    return words_of(text)
+
+
 def shingles_of(words: list[bytes], width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
@@ -82,8 +92,9 @@ class _WordHashes(dict):
 class Sketches:
     """Sketches of a block of items, by size partition."""
 
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD, words_of=words_of):
         hashes = _WordHashes()
+        self.words_of = words_of
         self.items: list[tuple[int, set[bytes], int]] = []  # id, shingles, allowed misses
         parts: dict[tuple[int, int], list[int]] = defaultdict(list)
         own: list[np.ndarray] = []
@@ -157,7 +168,7 @@ def find_leaks(
     return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
-def _blocks(docs: DataFrame, items: DataFrame, threshold: float, item_col: str, item_text_col: str) -> Iterator:
+def _blocks(docs: DataFrame, items: DataFrame, threshold: float, item_col: str, item_text_col: str, words_of=words_of) -> Iterator:
     """Broadcast sketches of the items, block by block; one empty block if there are none."""
     rows = items.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t")).distinct()
     block: list[tuple[int, bytes]] = []
@@ -166,24 +177,27 @@ def _blocks(docs: DataFrame, items: DataFrame, threshold: float, item_col: str,
         block.append((row.i, row.t.encode()))
         size += len(block[-1][1]) + 64
         if size >= BLOCK_ITEM_BYTES:
-            yield docs.sparkSession.sparkContext.broadcast(Sketches(block, threshold))
+            yield docs.sparkSession.sparkContext.broadcast(Sketches(block, threshold, words_of))
             block, size, sent = [], 0, True
     if block or not sent:
-        yield docs.sparkSession.sparkContext.broadcast(Sketches(block, threshold))
+        yield docs.sparkSession.sparkContext.broadcast(Sketches(block, threshold, words_of))
 
 
 def _with_leaks(docs: DataFrame, keep: list[str], text_col: str, shared) -> DataFrame:
     def make():
         sketches, hashes = shared.value, _WordHashes()
-        return lambda texts: {"__leaks": [[{"item_id": i, "n_shingles": n, "n_found": f} for i, n, f in sketches.matches(words_of(t), hashes)] for t in texts]}
+        return lambda texts: {"__leaks": [[{"item_id": i, "n_shingles": n, "n_found": f} for i, n, f in sketches.matches(sketches.words_of(t), hashes)] for t in texts]}
 
     return per_text(docs, "__leaks array<struct<item_id: bigint, n_shingles: bigint, n_found: bigint>>", make, keep, text_col)
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows into whose text no item leaks, with the columns they have. Each row is judged where it is read: no join."""
+    """The rows into whose text no item leaks, with the columns they have. Each row is judged where it is read: no join.
+
+    Words are those of ``folded_words_of``.
+    """
     kept = docs
-    for sketches in _blocks(docs, items, threshold, item_col, item_text_col):
+    for sketches in _blocks(docs, items, threshold, item_col, item_text_col, folded_words_of):
         kept = _with_leaks(kept, docs.columns, text_col, sketches).where(F.size("__leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept
 
