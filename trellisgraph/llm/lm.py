@@ -6,8 +6,9 @@ their last two bytes. A text's probability is the product over its tokens of P(c
 and P(token | class).
 
 The first factor is log-bilinear: the context's two class vectors, each through its own matrix, sum to a prediction that is
-multiplied with the output vectors of all classes. It is trained by noise-contrastive estimation on class trigrams,
-drawn in proportion to their counts over the whole training corpus, with the unigram distribution as noise. Batched matrix products then
+multiplied with the output vectors of all classes. It is trained by noise-contrastive estimation on class trigrams, weighted
+by their counts over the whole training corpus, with the unigram distribution as noise, whose expectation is exact. Every
+pass covers all cells of the table of counts, until the objective converges. Batched matrix products then
 give the normalised log-probabilities of all classes after all contexts, once; scoring looks them up. The second factor
 is (c + 0.5) / (N_k + 0.5 (V_k + 1)) within the class k, one unseen word included.
 
@@ -35,7 +36,10 @@ FREQUENT = 1 << 17
 #: Words that a task counts before it hands the counts on.
 TASK_WORDS = 400_000
 FOLDS, HELD = 5, 1
-DIMENSIONS, NOISE, STEPS, BATCH = 24, 12, 1500, 1024
+#: STEPS: passes over all trigrams at most.
+DIMENSIONS, NOISE, STEPS = 24, 12, 1500
+#: Training ends when this many passes lower the objective by less than this part of it.
+CHECKED, CONVERGED = 10, 1e-4
 #: The end token's key in the table of counts; no word is empty.
 END = b""
 START_CLASS = CLASSES
@@ -62,38 +66,49 @@ class LogBilinear:
         self.target = rng.normal(0, 0.1, (CLASSES, DIMENSIONS)).astype(np.float32)
         self.bias = np.log(self.noise).astype(np.float32)
 
-    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = STEPS, rate: float = 0.05, seed: int = 4) -> LogBilinear:
-        """Noise-contrastive estimation; trigrams (n, 3) are drawn by their counts, NOISE noise classes for each."""
+    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = STEPS, rate: float = 0.05) -> LogBilinear:
+        """Noise-contrastive estimation; trigrams (n, 3) with their counts, NOISE expected noise classes for each.
+
+        Every pass is over all trigrams. Passes end when ``CHECKED`` of them lower the objective by less than ``CONVERGED``
+        of itself, or after ``steps``; ``passes`` and ``converged`` tell.
+        """
+        self.passes, self.converged = 0, not len(trigrams)
         if not len(trigrams):
             return self
-        rng = np.random.default_rng(seed)
-        upto, noise_upto = np.cumsum(counts) / counts.sum(), np.cumsum(self.noise)
+        contexts, at = np.unique(trigrams[:, 0] * (CLASSES + 1) + trigrams[:, 1], return_inverse=True)
+        i, j = contexts // (CLASSES + 1), contexts % (CLASSES + 1)
+        share = np.bincount(at.ravel() * CLASSES + trigrams[:, 2], counts, len(contexts) * CLASSES).reshape(-1, CLASSES) / counts.sum()
+        noise = (share.sum(1, keepdims=True) * (NOISE * self.noise)).astype(np.float32)
+        share, log_noise = share.astype(np.float32), np.log(self.noise * NOISE).astype(np.float32)
         names = ["context", "first", "second", "target", "bias"]
-        state = {k: np.full_like(getattr(self, k), 1e-6) for k in names}
-        log_noise = np.log(self.noise * NOISE).astype(np.float32)
+        first, second = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
+        before = np.inf
         for step in range(steps):
-            picked = trigrams[np.minimum(np.searchsorted(upto, rng.random(BATCH)), len(trigrams) - 1)]
-            one, two = self.context[picked[:, 0]], self.context[picked[:, 1]]
+            one, two = self.context[i], self.context[j]
             predicted = one @ self.first + two @ self.second
-            noise = np.minimum(np.searchsorted(noise_upto, rng.random((BATCH, NOISE))), CLASSES - 1)
-            classes = np.concatenate([picked[:, 2:], noise], axis=1)  # the first is the truth
-            vectors = self.target[classes]
-            margin = np.einsum("bd,bkd->bk", predicted, vectors) + self.bias[classes] - log_noise[classes]
-            d = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            d[:, 0] -= 1
-            d /= BATCH
-            back = np.einsum("bk,bkd->bd", d, vectors)
+            margin = np.clip(predicted @ self.target.T + (self.bias - log_noise), -30, 30)
+            e = np.exp(-margin)
+            if step % CHECKED == 0:
+                loss = float((share * np.log1p(e) + noise * (np.log1p(e) + margin)).sum(dtype=np.float64))
+                if before - loss < CONVERGED * loss:
+                    self.converged = True
+                    break
+                before = loss
+            d = (share + noise) / (1 + e) - share
+            back = d @ self.target
             grads = {
-                "target": _summed(classes.ravel(), (d[:, :, None] * predicted[:, None]).reshape(-1, DIMENSIONS), CLASSES),
-                "bias": np.bincount(classes.ravel(), d.ravel(), CLASSES).astype(np.float32),
-                "context": _summed(picked[:, :2].T.ravel(), np.concatenate([back @ self.first.T, back @ self.second.T]), CLASSES + 1),
+                "target": d.T @ predicted,
+                "bias": d.sum(0),
+                "context": _summed(np.concatenate([i, j]), np.concatenate([back @ self.first.T, back @ self.second.T]), CLASSES + 1),
                 "first": one.T @ back,
                 "second": two.T @ back,
             }
-            speed = rate * (1 - step / steps)
-            for k in names:
-                state[k] += grads[k] ** 2
-                getattr(self, k)[...] -= speed * grads[k] / np.sqrt(state[k])
+            self.passes = step + 1
+            for k in names:  # Adam
+                first[k] += 0.1 * (grads[k] - first[k])
+                second[k] += 0.01 * (grads[k] ** 2 - second[k])
+                moved = first[k] / (1 - 0.9 ** (step + 1)) / (np.sqrt(second[k] / (1 - 0.99 ** (step + 1))) + 1e-9)
+                getattr(self, k)[...] -= rate / (1 + step / 50) * moved
         return self
 
     def log10_table(self) -> np.ndarray:
