@@ -1,4 +1,4 @@
-"""The language model is trained on all trigrams, however many there are."""
+"""The language model is trained on all tokens, however many there are."""
 
 import numpy as np
 
@@ -7,12 +7,15 @@ from trellisgraph.llm import lm
 
 def trained(rare):
     rng = np.random.default_rng(2)
-    trigrams = np.concatenate([rng.integers(0, lm.CLASSES, (300, 3)), [[90, 91, rare]]])
-    counts = np.append(np.full(300, 1e8), 1.0)
-    return lm.LogBilinear(np.ones(lm.CLASSES)).train(trigrams, counts)
+    one, two, target = rng.integers(0, 600, (3, 50_000))
+    target[40_000] = rare
+    return lm.LogBilinear(np.ones(600)).train([(one, two, target)])
 
 
-def test_a_trigram_too_rare_to_be_drawn_counts():
-    one, two = trained(7), trained(8)
-    assert one.converged and two.converged
-    assert not np.array_equal(one.log10_table(), two.log10_table())
+def test_one_token_among_many_counts():
+    assert not np.array_equal(trained(7).parameters(), trained(8).parameters())
+
+
+def test_every_token_is_seen_once():
+    model = trained(7)
+    assert model.seen["groups"] == model.seen["symbols"].sum() == 50_000 and model.seen["context"].sum() == 100_000

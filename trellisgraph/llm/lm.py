@@ -1,20 +1,26 @@
-"""Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
+"""Language-model scores: a log-bilinear model over words, trained with noise-contrastive estimation.
 
-Tokens: A-Z lower-cased, words are runs of ASCII non-white-space, then one end token for each text. Words fall into
-``CLASSES`` classes: each of the most frequent training tokens is a class of its own, all others share classes by the crc32 of
-their last two bytes. A text's probability is the product over its tokens of P(class | classes of the two tokens before)
-and P(token | class).
+Tokens: A-Z lower-cased, words are runs of ASCII non-white-space, then one end token for each text. Up to ``OWN`` of the most
+frequent training tokens are symbols of their own; all others share ``SHARED`` symbols by the crc32 of their last two bytes.
+Symbols stand in groups of ``GROUP``, by frequency. A text's probability is the product over its tokens of
+P(group | two symbols before), P(symbol | group, two symbols before) and P(token | symbol).
 
-The first factor is log-bilinear: the context's two class vectors, each through its own matrix, sum to a prediction that is
-multiplied with the output vectors of all classes. It is trained by noise-contrastive estimation on class trigrams, weighted
-by their counts over the whole training corpus, with the unigram distribution as noise, whose expectation is exact. Every
-pass covers all cells of the table of counts, until the objective converges. Batched matrix products then
-give the normalised log-probabilities of all classes after all contexts, once; scoring looks them up. The second factor
-is (c + 0.5) / (N_k + 0.5 (V_k + 1)) within the class k, one unseen word included.
+The first two factors are log-bilinear: the vectors of the two symbols before, each through its own matrix, sum to a
+prediction, which is multiplied with the vectors of all groups and with those of all symbols of the token's group. Scores
+are normalised for every token by these batched matrix products. The last factor is 1 for a token of its own, else
+(c + 0.5) / (N_k + 0.5 (V_k + 1)) within the symbol k, one unseen word included. All factors sum to one.
+
+Training passes once over every training token, whatever the size: each task starts at the same parameters, takes
+mini-batches of its tokens (at least ``LEAST_STEPS`` a block, where it has as many tokens) through noise-contrastive
+estimation, and hands on the parameters that it moved, summed with the number of its tokens that moved them; the average of
+all tasks is the model. Noise is the unigram distribution of groups, and of symbols within the token's group; its
+expectation is exact, so nothing is drawn. The number of parameters is bounded, so what a task hands on and the driver
+holds is as well.
 
 Scale: words are counted with task-side tables of bounded size, then summed by word. The ``FREQUENT`` most frequent words
 (a bounded list) are broadcast, so that no hot word is ever shuffled; the remaining words of each text are pre-counted
-per text and joined with the counts. Sums then return to their text's row. Counts and trigrams cover all training texts.
+per text and joined with the counts. Texts are coded once into a written table of symbols, which training and scoring read.
+Counts, training and scores cover all texts.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,101 +38,162 @@ from pyspark.sql import functions as F
 
 from .common import blocks, fold, materialize
 
-CLASSES, OWN = 96, 48
+OWN, SHARED, GROUP = 8192, 512, 128
 FREQUENT = 1 << 17
 #: Words that a task counts before it hands the counts on.
 TASK_WORDS = 400_000
 FOLDS, HELD = 5, 1
-#: STEPS: passes over all trigrams at most.
-DIMENSIONS, NOISE, STEPS = 24, 12, 1500
-#: Training ends when this many passes lower the objective by less than this part of it.
-CHECKED, CONVERGED = 10, 1e-4
+DIMENSIONS, NOISE, RATE = 16, 12, 0.15
+#: Tokens of a mini-batch at most, and mini-batches that a block of tokens is dealt into at least.
+BATCH, LEAST_STEPS, LEAST_BATCH = 4096, 64, 64
+#: Tokens whose scores are in memory at once.
+CHUNK = 1 << 16
 #: The end token's key in the table of counts; no word is empty.
 END = b""
-START_CLASS = CLASSES
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def shared_class(word: bytes) -> int:
-    """The class of a word that has none of its own."""
-    return OWN + zlib.crc32(word[-2:]) % (CLASSES - OWN)
+def shared_symbol(word: bytes) -> int:
+    """Which of the shared symbols a word without its own has."""
+    return zlib.crc32(word[-2:]) % SHARED
 
 
 class LogBilinear:
-    """P(class | two classes before). Vectors and matrices are numpy arrays; context class ``CLASSES`` is the start."""
+    """P(symbol | two symbols before), in two factors. Context symbol ``start`` stands before a text."""
 
     def __init__(self, unigram: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.noise = (unigram + 0.5) / (unigram + 0.5).sum()
-        self.context = rng.normal(0, 0.1, (CLASSES + 1, DIMENSIONS)).astype(np.float32)
-        self.first = np.eye(DIMENSIONS, dtype=np.float32) * 0.5
+        self.size = self.start = len(unigram)
+        groups = -(-len(unigram) // GROUP)
+        weight = np.zeros(groups * GROUP)
+        weight[: len(unigram)] = unigram + 0.5
+        weight = weight.reshape(groups, GROUP)
+        self.group_noise = (weight.sum(1) / weight.sum()).astype(np.float32)
+        self.noise = (weight / weight.sum(1, keepdims=True)).astype(np.float32)
+        self.context = rng.normal(0, 0.1, (self.size + 1, DIMENSIONS)).astype(np.float32)
+        self.first = np.eye(DIMENSIONS, dtype=np.float32)
         self.second = np.eye(DIMENSIONS, dtype=np.float32)
-        self.target = rng.normal(0, 0.1, (CLASSES, DIMENSIONS)).astype(np.float32)
-        self.bias = np.log(self.noise).astype(np.float32)
-
-    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = STEPS, rate: float = 0.05) -> LogBilinear:
-        """Noise-contrastive estimation; trigrams (n, 3) with their counts, NOISE expected noise classes for each.
-
-        Every pass is over all trigrams. Passes end when ``CHECKED`` of them lower the objective by less than ``CONVERGED``
-        of itself, or after ``steps``; ``passes`` and ``converged`` tell.
-        """
-        self.passes, self.converged = 0, not len(trigrams)
-        if not len(trigrams):
-            return self
-        contexts, at = np.unique(trigrams[:, 0] * (CLASSES + 1) + trigrams[:, 1], return_inverse=True)
-        i, j = contexts // (CLASSES + 1), contexts % (CLASSES + 1)
-        share = np.bincount(at.ravel() * CLASSES + trigrams[:, 2], counts, len(contexts) * CLASSES).reshape(-1, CLASSES) / counts.sum()
-        noise = (share.sum(1, keepdims=True) * (NOISE * self.noise)).astype(np.float32)
-        share, log_noise = share.astype(np.float32), np.log(self.noise * NOISE).astype(np.float32)
-        names = ["context", "first", "second", "target", "bias"]
-        first, second = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
-        before = np.inf
-        for step in range(steps):
-            one, two = self.context[i], self.context[j]
-            predicted = one @ self.first + two @ self.second
-            margin = np.clip(predicted @ self.target.T + (self.bias - log_noise), -30, 30)
-            e = np.exp(-margin)
-            if step % CHECKED == 0:
-                loss = float((share * np.log1p(e) + noise * (np.log1p(e) + margin)).sum(dtype=np.float64))
-                if before - loss < CONVERGED * loss:
-                    self.converged = True
-                    break
-                before = loss
-            d = (share + noise) / (1 + e) - share
-            back = d @ self.target
-            grads = {
-                "target": d.T @ predicted,
-                "bias": d.sum(0),
-                "context": _summed(np.concatenate([i, j]), np.concatenate([back @ self.first.T, back @ self.second.T]), CLASSES + 1),
-                "first": one.T @ back,
-                "second": two.T @ back,
-            }
-            self.passes = step + 1
-            for k in names:  # Adam
-                first[k] += 0.1 * (grads[k] - first[k])
-                second[k] += 0.01 * (grads[k] ** 2 - second[k])
-                moved = first[k] / (1 - 0.9 ** (step + 1)) / (np.sqrt(second[k] / (1 - 0.99 ** (step + 1))) + 1e-9)
-                getattr(self, k)[...] -= rate / (1 + step / 50) * moved
+        # Vectors end in their bias; symbols that fill up the last group have no probability.
+        self.groups = np.column_stack([rng.normal(0, 0.1, (groups, DIMENSIONS)), np.log(self.group_noise)]).astype(np.float32)
+        bias = np.log(np.where(weight > 0, self.noise, 1e-30))
+        self.symbols = np.concatenate([rng.normal(0, 0.1, (groups, GROUP, DIMENSIONS)), bias[..., None]], axis=2).astype(np.float32)
+
+    _NAMES = ("context", "first", "second", "groups", "symbols")
+
+    def train(self, tokens: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> LogBilinear:
+        """One pass of noise-contrastive estimation over blocks of (symbol before last, last symbol, symbol)."""
+        squares = {k: np.full_like(getattr(self, k), 1e-6) for k in self._NAMES}
+        #: Tokens that moved each vector.
+        self.seen = {"context": np.zeros(self.size + 1), "first": 0, "second": 0, "groups": 0, "symbols": np.zeros(len(self.groups))}
+        rng = np.random.default_rng(4)
+        for one, two, target in tokens:
+            n = len(target)
+            order = rng.permutation(n)
+            batch = min(BATCH, max(LEAST_BATCH, -(-n // LEAST_STEPS)))
+            self.seen["context"] += np.bincount(one, minlength=self.size + 1) + np.bincount(two, minlength=self.size + 1)
+            self.seen["symbols"] += np.bincount(target // GROUP, minlength=len(self.groups))
+            for k in ("first", "second", "groups"):
+                self.seen[k] += n
+            for at in range(0, n, batch):
+                pick = order[at : at + batch]
+                self._step(one[pick], two[pick], target[pick], squares)
         return self
 
-    def log10_table(self) -> np.ndarray:
-        """(context, context, class): normalised log10 probabilities, in batches of matrix products."""
-        out = np.empty((CLASSES + 1, CLASSES + 1, CLASSES), np.float64)
-        second = self.context @ self.second
-        for i in range(CLASSES + 1):
-            scores = ((self.context[i] @ self.first + second) @ self.target.T + self.bias).astype(np.float64)
-            scores -= scores.max(1, keepdims=True)
-            out[i] = (scores - np.log(np.exp(scores).sum(1, keepdims=True))) / np.log(10)
-        return out
-
+    def _step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, squares: dict[str, np.ndarray]) -> None:
+        order = np.argsort(target // GROUP, kind="stable")
+        one, two, target = one[order], two[order], target[order]
+        group, place = target // GROUP, target % GROUP
+        n = len(target)
+        before, last = self.context[one], self.context[two]
+        predicted = np.ones((n, DIMENSIONS + 1), np.float32)
+        predicted[:, :-1] = before @ self.first + last @ self.second
+
+        def move(name: str, where, gradient: np.ndarray) -> None:  # Adagrad
+            total = squares[name][where]
+            total += gradient * gradient
+            squares[name][where] = total
+            getattr(self, name)[where] -= RATE * gradient / np.sqrt(total)
+
+        def errors(vectors: np.ndarray, noise: np.ndarray, rows: slice, chosen: np.ndarray) -> np.ndarray:
+            """Gradient of the scores: what the noise expects, less the data."""
+            weight = NOISE * noise
+            score = predicted[rows] @ vectors.T
+            np.clip(score, -40, 40, out=score)
+            np.negative(score, out=score)
+            np.exp(score, out=score)
+            score *= weight
+            score += 1
+            np.divide(weight, score, out=score)  # weight x chance that it is data
+            at = np.arange(len(chosen))
+            chance = score[at, chosen] / np.maximum(weight[chosen], 1e-30)
+            score[at, chosen] += chance - 1
+            return score
+
+        d = errors(self.groups, self.group_noise, slice(None), group)
+        back = d @ self.groups[:, :-1]
+        move("groups", slice(None), d.T @ predicted / n)
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
+            g = int(group[a])
+            d = errors(self.symbols[g], self.noise[g], slice(a, b), place[a:b])
+            back[a:b] += d @ self.symbols[g][:, :-1]
+            move("symbols", g, d.T @ predicted[a:b] / n)
+        back /= n
+        steps = (before.T @ back, last.T @ back)
+        where = np.concatenate([one, two])
+        both = np.concatenate([back @ self.first.T, back @ self.second.T])
+        order = np.argsort(where, kind="stable")
+        where, both = where[order], both[order]
+        starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+        move("context", where[starts], np.add.reduceat(both, starts, axis=0))
+        move("first", slice(None), steps[0])
+        move("second", slice(None), steps[1])
+
+    def parameters(self) -> np.ndarray:
+        """All vectors, one a row, each with its bias or 0."""
+        plain = [np.pad(getattr(self, k), ((0, 0), (0, 1))) for k in ("context", "first", "second")]
+        return np.concatenate([*plain, self.groups, self.symbols.reshape(-1, DIMENSIONS + 1)])
+
+    def weights(self) -> np.ndarray:
+        """How many tokens moved each row of ``parameters``."""
+        ones = np.ones(DIMENSIONS)
+        return np.concatenate([self.seen["context"], ones * self.seen["first"], ones * self.seen["second"], np.full(len(self.groups), self.seen["groups"]), np.repeat(self.seen["symbols"], GROUP)])
+
+    def with_parameters(self, rows: np.ndarray) -> LogBilinear:
+        cuts = np.cumsum([self.size + 1, DIMENSIONS, DIMENSIONS, len(self.groups)])
+        parts = np.split(rows.astype(np.float32), cuts)
+        self.context, self.first, self.second = (np.ascontiguousarray(p[:, :-1]) for p in parts[:3])
+        self.groups, self.symbols = parts[3], parts[4].reshape(self.symbols.shape)
+        return self
 
-def _summed(at: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the vectors at each of n places."""
-    flat = (at[:, None] * DIMENSIONS + np.arange(DIMENSIONS)).ravel()
-    return np.bincount(flat, vectors.ravel(), n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.float32)
+    def log10(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of symbols after two others, by batched matrix products."""
+        out = np.empty(len(target), np.float32)
+        before, last = self.context @ self.first, self.context @ self.second
+
+        def normalised(predicted: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+            score = predicted @ vectors.T
+            np.clip(score, -80, 80, out=score)
+            own = score[np.arange(len(chosen)), chosen]
+            np.exp(score, out=score)
+            return own - np.log(score.sum(1))
+
+        for at in range(0, len(target), CHUNK):
+            part = slice(at, at + CHUNK)
+            order = np.argsort(target[part] // GROUP, kind="stable")
+            goal = target[part][order]
+            group, place = goal // GROUP, goal % GROUP
+            predicted = np.ones((len(goal), DIMENSIONS + 1), np.float32)
+            predicted[:, :-1] = before[one[part][order]] + last[two[part][order]]
+            logs = normalised(predicted, self.groups, group)
+            cuts = np.flatnonzero(np.diff(group)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(goal)], strict=True):
+                logs[a:b] += normalised(predicted[a:b], self.symbols[group[a]], place[a:b])
+            out[at + order] = logs
+        return out / np.float32(np.log(10))
 
 
 def _mapped(df: DataFrame, run, ddl: str) -> DataFrame:
@@ -174,46 +242,40 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What every task gets: the frequent words and the statistics of the classes."""
+    """What every task gets: the frequent words and the statistics of the symbols. Own symbols come first."""
 
     words: dict[bytes, int]  # frequent words; their position in the arrays
-    classes: np.ndarray
+    symbols: np.ndarray
     train: np.ndarray
     n: int
     v: int
-    class_n: np.ndarray
-    class_v: np.ndarray
+    own: int
+    shared_n: np.ndarray
+    shared_v: np.ndarray
+    unigram: np.ndarray
 
     def base_log10(self, c):
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def class_log10(self, c, k):
-        """log10 P(token | class); a class of one token gives it all."""
-        return np.where(k < OWN, 0.0, np.log10((c + 0.5) / (self.class_n[k] + 0.5 * (self.class_v[k] + 1))))
+    def within_log10(self, c, symbol):
+        """log10 P(token | symbol); a symbol of one token gives it all."""
+        k = np.maximum(symbol - self.own, 0)
+        return np.where(symbol < self.own, 0.0, np.log10((c + 0.5) / (self.shared_n[k] + 0.5 * (self.shared_v[k] + 1))))
 
     def coded(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Classes of the tokens of a text, positions of the frequent ones (else -1), and the words that are not."""
+        """Symbols of the tokens of a text, positions of the frequent ones (else -1), and the words that are not."""
         tokens = words_of(text)
         tokens.append(END)
-        at = np.fromiter(map(self.words.get, tokens, _MISSING), np.int64, len(tokens))
+        at = np.fromiter(map(self.words.get, tokens, repeat(-1)), np.int64, len(tokens))
         rare_at = np.flatnonzero(at < 0)
         rare = [tokens[i] for i in rare_at.tolist()]
-        classes = self.classes[at]
-        classes[rare_at] = [shared_class(w) for w in rare]
-        return classes, at, rare
-
-
-class _Forever:
-    def __iter__(self):
-        while True:
-            yield -1
-
-
-_MISSING = _Forever()
+        symbols = self.symbols[at]
+        symbols[rare_at] = [self.own + shared_symbol(w) for w in rare]
+        return symbols, at, rare
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
-    """From the written table of counts. Collects at most ``frequent`` words and one row for each class."""
+    """From the written table of counts. Collects at most ``frequent`` words and one row for each shared symbol."""
     # Frequencies fall into at most 1000 classes; as many of the highest as hold no more words than allowed are taken.
     level = F.floor(F.log2("total") * 16)
     sizes = sorted(((r.level, r.n) for r in counts.where("total > 0").groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -230,84 +292,138 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     train = top["train"].to_numpy(np.int64)
     own = [i for i in np.argsort(-train, kind="stable").tolist() if train[i] > 0][:OWN]
     if words and train[0] > 0 and 0 not in own:
-        own[-1] = 0  # the end token has a class of its own
-    classes = np.array([shared_class(w) for w in words], np.int64)
-    classes[own] = np.arange(len(own))
-    named = F.array(*[F.lit(words[i]) for i in own]) if own else F.array().cast("array<binary>")
-    shared = F.lit(OWN) + F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(CLASSES - OWN))
+        own[-1] = 0  # the end token has a symbol of its own
+    symbols = np.array([len(own) + shared_symbol(w) for w in words], np.int64)
+    symbols[own] = np.arange(len(own))
     known = counts.where("train > 0")
-    n, v = known.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count("*")).first()
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, total, distinct in known.where(~F.array_contains(named, F.col("word"))).groupBy(shared.alias("k")).agg(F.sum("train"), F.count("*")).collect():
-        class_n[k], class_v[k] = total, distinct
-    return Vocabulary({w: i for i, w in enumerate(words)}, np.append(classes, -1), np.append(train, 0), n, v, class_n, class_v)
+    bucket = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(SHARED))
+    shared_n, shared_v = np.zeros(SHARED), np.zeros(SHARED)
+    for k, total, distinct in known.groupBy(bucket.alias("k")).agg(F.sum("train"), F.count("*")).collect():
+        shared_n[k], shared_v[k] = total, distinct
+    n, v = int(shared_n.sum()), int(shared_v.sum())
+    for i in own:  # words of their own do not count among those that share
+        shared_n[shared_symbol(words[i])] -= train[i]
+        shared_v[shared_symbol(words[i])] -= 1
+    return Vocabulary({w: i for i, w in enumerate(words)}, np.append(symbols, -1), np.append(train, 0), n, v, len(own), shared_n, shared_v, np.concatenate([train[own], shared_n]))
+
+
+_CODED = [
+    ("row", "long", pa.int64()), ("id", "long", pa.int64()), ("held_out", "boolean", pa.bool_()), ("word", "binary", pa.binary()), ("times", "long", pa.int64()), ("k", "int", pa.int32()),
+    ("n_tokens", "long", pa.int64()), ("n_known", "long", pa.int64()), ("base", "double", pa.float64()), ("model", "double", pa.float64()), ("symbols", "binary", pa.binary()),
+]
 
 
-def class_trigrams(rows: DataFrame, shared) -> DataFrame:
-    """(cell, n): class trigrams of all texts that are not held out; at most (CLASSES + 1)^2 * CLASSES cells."""
-    cells = (CLASSES + 1) ** 2 * CLASSES
-    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+def code(rows: DataFrame, shared) -> DataFrame:
+    """One row for each text: its symbols, and sums over its frequent words; one more for each other word of it (word, times, k)."""
+    schema = pa.schema([(name, kind) for name, _, kind in _CODED])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, counts = shared.value, np.zeros(cells, np.int64)
+        vocab = shared.value
+        base = np.append(vocab.base_log10(vocab.train[:-1]), 0.0)
+        within = np.append(vocab.within_log10(vocab.train[:-1], vocab.symbols[:-1]), 0.0)
+        known = np.append(vocab.train[:-1] > 0, False)
         for block in parts:
-            found = np.concatenate([trigram_cells(vocab.coded(t)[0]) for t in block.column(0).to_pylist()])
-            counts += np.bincount(found, minlength=cells)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], schema=schema)
+            head, sums, coded, others = block.columns[:3], [], [], []
+            for text in block.column(3).to_pylist():
+                symbols, at, rare = vocab.coded(text)
+                coded.append(symbols.astype(np.uint16).tobytes())
+                sums.append((len(at), int(known[at].sum()), float(base[at].sum()), float(within[at].sum())))
+                others.append(Counter(rare))
+            n, nulls = len(coded), pa.nulls
+            columns = [*head, nulls(n, pa.binary()), nulls(n, pa.int64()), nulls(n, pa.int32()), *zip(*sums, strict=True), coded]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            words = list(chain.from_iterable(others))
+            if not words:
+                continue
+            owner = np.repeat(head[0].to_numpy(), [len(o) for o in others])
+            m = len(words)
+            columns = [pa.array(owner), nulls(m, pa.int64()), nulls(m, pa.bool_()), words, list(chain.from_iterable(o.values() for o in others)), [shared_symbol(w) for w in words]]
+            columns += [np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m), nulls(m, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return _mapped(rows, run, ", ".join(f"{name} {kind}" for name, kind, _ in _CODED))
+
+
+def _tokens(texts: list[bytes], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol before last, last symbol, symbol) of all tokens of coded texts, and where each text begins."""
+    parts = [np.frombuffer(t, np.uint16) for t in texts]
+    begins = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1].astype(np.int64)
+    target = np.concatenate(parts).astype(np.int64)
+    one, two = np.empty_like(target), np.empty_like(target)
+    two[1:], one[2:] = target[:-1], target[:-2]
+    one[:2] = two[:1] = start
+    one[begins] = two[begins] = start
+    after = begins + 1
+    one[after[after < len(one)]] = start  # a text's second token; of a text of one token, the next text's first
+    return one, two, target, begins
+
+
+def fit(texts: DataFrame, vocab: Vocabulary) -> LogBilinear:
+    """Trains on the column ``symbols`` of coded texts: every task on its share, then the average."""
+    model = LogBilinear(vocab.unigram)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    names = [f"v{i}" for i in range(DIMENSIONS + 1)]
+    schema = pa.schema([("at", pa.int32()), ("weight", pa.float64()), *[(v, pa.float64()) for v in names]])
 
-    return _mapped(rows.where("not held_out").select("text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from copy import deepcopy
 
+        first = shared.value.parameters()
+        own = deepcopy(shared.value).train(_tokens(block.column(0).to_pylist(), shared.value.start)[:3] for block in parts)
+        weights = own.weights()
+        moved = np.flatnonzero(weights)
+        change = (own.parameters()[moved] - first[moved]).astype(np.float64) * weights[moved, None]
+        yield pa.RecordBatch.from_arrays([pa.array(moved.astype(np.int32)), pa.array(weights[moved]), *[pa.array(c) for c in change.T.copy()]], schema=schema)
 
-def trigram_cells(classes: np.ndarray) -> np.ndarray:
-    """Index into the flattened log-probability table for each token."""
-    padded = np.concatenate(([START_CLASS, START_CLASS], classes))
-    return (padded[:-2] * (CLASSES + 1) + padded[1:-1]) * CLASSES + classes
+    moved = _mapped(texts.select("symbols"), run, "at int, weight double, " + ", ".join(f"{v} double" for v in names))
+    rows = moved.groupBy("at").agg(*[F.sum(c).alias(c) for c in ["weight", *names]]).toPandas()  # at most one row for each vector of the model
+    parameters = model.parameters().astype(np.float64)
+    parameters[rows["at"].to_numpy()] += rows[names].to_numpy() / rows[["weight"]].to_numpy()
+    return model.with_parameters(parameters)
+
+
+def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Vocabulary, DataFrame, LogBilinear]:
+    """Counts of words, vocabulary, coded texts and the model of the texts that are not held out."""
+    rows = _rows(docs, id_col, text_col)
+    counts = materialize(word_counts(rows), "lm-counts")
+    vocab = vocabulary(counts)
+    coded = materialize(code(rows, docs.sparkSession.sparkContext.broadcast(vocab)), "lm-coded")
+    return counts, vocab, coded, fit(coded.where("word is null and not held_out"), vocab)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
-    Null and empty texts consist of the end token. Without training texts every class distribution is the model's start.
+    Null and empty texts consist of the end token. Without training texts the model stays at its start.
     """
     spark = docs.sparkSession
-    rows = _rows(docs, id_col, text_col)
-    counts = materialize(word_counts(rows), "lm-counts")
-    vocab = vocabulary(counts)
-    shared = spark.sparkContext.broadcast(vocab)
-    cells = class_trigrams(rows, shared).toPandas()  # bounded by the number of cells
-    at, n = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64)
-    trigrams = np.stack([at // (CLASSES * (CLASSES + 1)), at // CLASSES % (CLASSES + 1), at % CLASSES], axis=1)
-    model = LogBilinear(np.bincount(trigrams[:, 2], n, CLASSES)).train(trigrams, n)
-    table = spark.sparkContext.broadcast(model.log10_table().ravel().astype(np.float32))
-
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("times", pa.int64()), ("k", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+    counts, vocab, coded, fitted = trained(docs, id_col, text_col)
+    texts, model = coded.where("word is null"), spark.sparkContext.broadcast(fitted)
+    names = ["row", "id", "held_out", "word", "times", "k", "n_tokens", "n_known", "base", "model"]
+    schema = pa.schema([(name, kind) for name, _, kind in _CODED if name in names])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, logs = shared.value, table.value
-        base = np.append(vocab.base_log10(vocab.train[:-1]), 0.0)
-        within = np.append(vocab.class_log10(vocab.train[:-1], vocab.classes[:-1]), 0.0)
-        known = np.append(vocab.train[:-1] > 0, False)
         for block in parts:
-            out = []
-            for row, doc, held, text in zip(*(c.to_pylist() for c in block.columns), strict=True):
-                classes, at, rare = vocab.coded(text)
-                # A text's own line: its key is no word, as words hold no space, and as spread as the rows are.
-                out.append((row, doc, held, b" %d" % row, 0, 0, len(at), int(known[at].sum()), float(base[at].sum()), float(within[at].sum() + logs[trigram_cells(classes)].sum(dtype=np.float64))))
-                out.extend((row, doc, held, w, times, shared_class(w), 0, 0, 0.0, 0.0) for w, times in Counter(rare).items())
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    lines = _mapped(rows, run, "row long, id long, held_out boolean, word binary, times long, k long, n_tokens long, n_known long, base double, model double")
+            *tokens, begins = _tokens(block.column(len(names)).to_pylist(), model.value.start)
+            sums = np.add.reduceat(model.value.log10(*tokens).astype(np.float64), begins)
+            columns = block.columns[: len(names)]
+            columns[-1] = pa.array(columns[-1].to_numpy() + sums)
+            # A text's own line: its key is no word, as words hold no space, and as spread as the rows are.
+            columns[3] = pa.array([b" %d" % row for row in columns[0].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    scored = _mapped(texts.select(*names, "symbols"), run, ", ".join(f"{name} {kind}" for name, kind, _ in _CODED if name in names))
+    lines = scored.unionByName(coded.where("word is not null").select(*names))
     others = counts.where("train > 0").select("word", "train")
     joined = lines.join(others, "word", "left").withColumn("c", F.coalesce("train", F.lit(0)).cast("double"))
-    weights = F.array(*[F.lit(float(x)) for x in vocab.class_n + 0.5 * (vocab.class_v + 1)])
+    weights = F.split(F.lit(",".join(repr(float(x)) for x in vocab.shared_n + 0.5 * (vocab.shared_v + 1))), ",").cast("array<double>")
     whole = float(vocab.n + 0.5 * (vocab.v + 1))
     summed = joined.groupBy("row").agg(
         F.max("id").alias("id"),
         F.max("held_out").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.coalesce("times", F.lit(0))).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.when(F.col("times") > 0, F.col("times") * F.log10((F.col("c") + 0.5) / whole)).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("model") + F.when(F.col("times") > 0, F.col("times") * F.log10((F.col("c") + 0.5) / F.get(weights, F.col("k").cast("int")))).otherwise(0.0)).alias("score"),
+        F.sum(F.col("model") + F.when(F.col("times") > 0, F.col("times") * F.log10((F.col("c") + 0.5) / F.get(weights, F.col("k")))).otherwise(0.0)).alias("score"),
     )
     return summed.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(vocab.n)).cast("long").alias("train_tokens"), "base_score", "score")
