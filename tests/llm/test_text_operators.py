@@ -233,6 +233,51 @@ def test_pair_tables_equal_the_convolution():
     assert np.allclose(model.log_probabilities(windows), direct, atol=1e-4)
 
 
+def test_prediction_matches_plain_loops():
+    """Whole texts, byte by byte: every filter at every position of every window."""
+    rng = np.random.default_rng(3)
+    model = langid.ByteConvolution(["a", "b", "c"])
+    model.bias = rng.normal(0, 0.3, model.bias.shape).astype(np.float32)
+    texts = ["Ünd so weiter", "word " * 61 + "é漢", "x", "12 34", ""]
+    for text, lang, score in zip(texts, *model.predict([t.encode() for t in texts]), strict=True):
+        data, total, mass = text.encode(), np.zeros(3), 0.0
+        if not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        for start in range(0, len(data), langid.WINDOW - 5):
+            window = data[start : start + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            hidden = []
+            for f in range(model.filters.shape[1]):
+                width = langid.WIDTHS[f // langid.FILTERS]
+                spans = [sum(float(model.embed[window[p + i]] @ model.filters[langid.EMBED * i : langid.EMBED * (i + 1), f]) for i in range(width)) for p in range(langid.WINDOW - 5)]
+                hidden.append(max(0.0, max(spans) + float(model.bias[f])))
+            logits = np.array(hidden) @ model.out + model.out_bias
+            weight = sum(langid._LETTER[b] for b in window) + 1e-3
+            total += weight * (logits - np.log(np.exp(logits).sum()))
+            mass += weight
+        p = np.exp(total / mass)
+        p /= p.sum()
+        assert lang == "abc"[int(p.argmax())] and score == pytest.approx(float(p.max()), rel=1e-3)
+
+
+def test_short_texts_train(spark):
+    rows = [(i, *(("yes no", "en"), ("oui non", "fr"))[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.fit(docs), ["doc_id", "lang"]).collect()
+    assert all(r.lang == r.lang_pred for r in found)
+
+
+def test_late_text_trains():
+    """Windows come from all of a text, not from its beginning."""
+    text = b"a" * 200_000 + b"b" * 200_000
+    drawn = [w for i in range(30) for w in langid.training_windows(text + b"%d" % i)]
+    assert 20 < sum(b"b" in w for w in drawn) < 70
+
+
+def test_numbers_are_no_letters():
+    assert [langid.has_letter(t.encode()) for t in ("½ ²", "Ⅷ", "١٢", "_", "é", "漢", "ª", "x")] == [False, False, False, False, True, True, True, True]
+
+
 def test_windows_cover_whole_texts():
     for n in (0, 1, 127, 128, 129, 1000):
         text = bytes(np.random.default_rng(n).integers(1, 256, n).astype(np.uint8))

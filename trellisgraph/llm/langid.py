@@ -1,17 +1,20 @@
 """Language identification with a byte convolutional network, trained in numpy.
 
-Texts become fixed-length windows of ``WINDOW`` bytes that cover the whole text (consecutive windows overlap by the
-widest filter; the last is padded with zeros). Bytes are embedded, filters of several widths slide over the window two
-bytes at a time (the stride), each filter keeps its maximum over the window after a rectifier, and a softmax gives the languages'
+Texts become fixed-length windows of ``WINDOW`` bytes that cover the whole text (consecutive windows overlap by one byte less
+than the widest filter; the last is padded with zeros). Bytes are embedded, filters of several widths slide over every
+position of the window, each filter keeps its maximum over the window after a rectifier, and a softmax gives the languages'
 probabilities. A text's log-probabilities are the mean over its windows, weighted by their letters.
 
 Training uses a bounded, documented sample of labelled rows: about ``SAMPLE_ROWS`` of the training folds, chosen by the hash of the
-id (never over twice as many), and at most ``SAMPLE_WINDOWS`` windows. Everything else covers all rows.
+id (never over twice as many). Of each whole text the executors draw ``TEXT_WINDOWS`` windows by a hash, in proportion to
+their letters; a quarter of them is cut short at a random length, so that short texts are learned as well. Texts of any length
+train. Everything else covers all rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,24 +26,24 @@ WINDOW = 128
 WIDTHS = (2, 4, 6)
 FILTERS = 12
 EMBED = 8
-STRIDE = 2
 SAMPLE_ROWS = 4000
-SAMPLE_WINDOWS = 12_000
-EPOCHS = 8
+TEXT_WINDOWS = 3
+#: Passes over the windows, and mini-batches of training at least.
+EPOCHS, LEAST_STEPS = 8, 300
 FOLDS, HELD = 3, 1
 UNDETERMINED = "und"
 #: Windows whose convolutions are in memory at once.
 CHUNK = 256
 
 _STEP = WINDOW - max(WIDTHS) + 1
-_POSITIONS = (WINDOW - max(WIDTHS)) // STRIDE + 1
+_POSITIONS = _STEP
 
 
 def windows_of(text: bytes) -> np.ndarray:
-    """(n, WINDOW) bytes that cover a text; an empty text has none."""
+    """(n, WINDOW) bytes that cover a text, so that every byte starts one span of each filter; an empty text has none."""
     if not text:
         return np.empty((0, WINDOW), np.uint8)
-    n = 1 + max(0, -(-(len(text) - WINDOW) // _STEP))
+    n = -(-len(text) // _STEP)
     padded = np.zeros(_STEP * (n - 1) + WINDOW, np.uint8)
     padded[: len(text)] = np.frombuffer(text, np.uint8)
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::_STEP]
@@ -48,7 +51,25 @@ def windows_of(text: bytes) -> np.ndarray:
 
 _LETTER = np.zeros(256, np.float32)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = 1
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
+
+def has_letter(text: bytes) -> bool:
+    """Whether a UTF-8 text holds a character of Unicode category L."""
+    return bool(_ASCII_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
+def training_windows(text: bytes, n: int = TEXT_WINDOWS) -> list[bytes]:
+    """Windows of a whole text drawn by its hash, in proportion to their letters; every fourth draw is cut short."""
+    if not has_letter(text):
+        return []
+    windows = windows_of(text)
+    weights = _LETTER[windows].sum(1) + 1e-3
+    rng = np.random.default_rng(zlib.crc32(text))
+    picked = windows[rng.choice(len(windows), n, p=weights / weights.sum())].copy()
+    for row in np.flatnonzero(rng.random(n) < 0.25):
+        picked[row, rng.integers(4, WINDOW) :] = 0
+    return [w.tobytes() for w in picked]
 
 
 class ByteConvolution:
@@ -70,7 +91,7 @@ class ByteConvolution:
     def _patches(self, windows: np.ndarray) -> np.ndarray:
         """(n, positions, widest * E)."""
         e = self.embed[windows]  # n, WINDOW, E
-        view = np.lib.stride_tricks.sliding_window_view(e, max(WIDTHS), axis=1)[:, ::STRIDE]  # n, P, E, widest
+        view = np.lib.stride_tricks.sliding_window_view(e, max(WIDTHS), axis=1)  # n, P, E, widest
         return np.ascontiguousarray(view.transpose(0, 1, 3, 2)).reshape(len(windows), _POSITIONS, -1)
 
     def pair_tables(self) -> list[np.ndarray]:
@@ -87,10 +108,11 @@ class ByteConvolution:
         tables = self.pair_tables()
         out = np.empty((len(windows), len(self.languages)), np.float32)
         for at in range(0, len(windows), CHUNK):
-            pairs = np.ascontiguousarray(windows[at : at + CHUNK]).view("<u2").astype(np.intp)
+            part = windows[at : at + CHUNK].astype(np.intp)
+            pairs = part[:, :-1] | part[:, 1:] << 8
             conv = tables[0][pairs[:, :_POSITIONS]]
             for i, table in enumerate(tables[1:], 1):
-                conv += table[pairs[:, i : i + _POSITIONS]]
+                conv += table[pairs[:, 2 * i : 2 * i + _POSITIONS]]
             out[at : at + CHUNK] = _log_softmax(np.maximum(conv.max(1) + self.bias, 0) @ self.out + self.out_bias)
         return out
 
@@ -102,6 +124,7 @@ class ByteConvolution:
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
         second = {k: np.zeros_like(getattr(self, k)) for k in names}
         step = 0
+        epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, len(windows)))) if len(windows) > batch else max(epochs, LEAST_STEPS)
         for epoch in range(epochs):
             order = rng.permutation(len(windows))
             speed = rate * (1 - epoch / epochs)
@@ -130,13 +153,13 @@ class ByteConvolution:
         g_filters = np.einsum("nfe,nf->ef", chosen, back) * self.mask
         g_chosen = back[:, :, None] * self.filters.T[None]  # n, F, widest * E
         g_embed = np.zeros_like(self.embed)
-        at = best[:, :, None] * STRIDE + np.arange(max(WIDTHS))
+        at = best[:, :, None] + np.arange(max(WIDTHS))
         np.add.at(g_embed, windows[np.arange(n)[:, None, None], at].ravel(), g_chosen.reshape(-1, EMBED))
         return {"embed": g_embed, "filters": g_filters, "bias": back.sum(0), "out": hidden.T @ d, "out_bias": d.sum(0)}
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         """Language and probability of whole texts; a text without letters is undetermined, with score 0."""
-        parts = [windows_of(t) if _ANY_LETTER.search(t.decode("utf-8", "replace")) else windows_of(b"") for t in texts]
+        parts = [windows_of(t) if has_letter(t) else windows_of(b"") for t in texts]
         counts = np.array([len(p) for p in parts])
         total = np.zeros((len(texts), len(self.languages)))
         if counts.sum():
@@ -163,32 +186,22 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held: int = HELD) -> ByteConvolution:
     """Train on a bounded sample of the rows whose fold is not ``held`` and whose language is known.
 
-    No labelled row at all gives a network that knows only the undetermined language.
+    No labelled row with a letter at all gives a network that knows only the undetermined language.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), fold(id_col, folds).alias("fold"))
     known = rows.where((F.col("fold") != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("id", "lang", "text")
-    # Long texts lend a stretch each to the training windows.
-    sample = bounded_sample(known, "id", SAMPLE_ROWS).select("id", "lang", F.substring("text", 1, 2000).alias("part")).toPandas()
-    sample = sample.sort_values(["id", "lang", "part"])
-    languages = sorted(set(sample["lang"]))
+    sample = bounded_sample(known, "id", SAMPLE_ROWS)
+
+    def make():
+        return lambda texts: {"windows": [training_windows(t) for t in texts]}
+
+    drawn = per_text(sample, "windows array<binary>", make, ["lang"]).select("lang", F.explode("windows").alias("window")).toPandas()
+    drawn = drawn.sort_values(["lang", "window"])  # at most TEXT_WINDOWS of each sampled row
+    languages = sorted(set(drawn["lang"]))
     if not languages:
         return ByteConvolution([UNDETERMINED])
-    rng = np.random.default_rng(0)
-    windows, labels = [], []
-    for lang, part in zip(sample["lang"], sample["part"], strict=True):
-        w = windows_of(part.encode())
-        windows.append(w)
-        labels.append(np.full(len(w), languages.index(lang)))
-    stacked, truth = np.concatenate(windows), np.concatenate(labels)
-    if not len(stacked):
-        return ByteConvolution([UNDETERMINED])
-    full = np.flatnonzero(_LETTER[stacked].sum(1) >= 16)
-    pick = rng.permutation(full)[:SAMPLE_WINDOWS]
-    # Cut some windows short, so that short texts are learned as well.
-    chosen = stacked[pick].copy()
-    for row, length in zip(range(0, len(chosen), 4), rng.integers(16, WINDOW, len(chosen)), strict=False):
-        chosen[row, length:] = 0
-    return ByteConvolution(languages).train(chosen, truth[pick])
+    windows = np.frombuffer(b"".join(drawn["window"]), np.uint8).reshape(-1, WINDOW)
+    return ByteConvolution(languages).train(windows, np.searchsorted(languages, drawn["lang"].to_numpy(str)))
 
 
 def identify(docs: DataFrame, model: ByteConvolution, keep: list[str], text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
