@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import struct
 import zlib
 from collections import Counter
 
@@ -378,22 +379,88 @@ def test_encoding_equals_the_library(pieces):
         assert own.decode(ids) == library.decode(ids.tolist()), text
 
 
-def test_unigram_paths_are_shortest(pieces):
-    """The same pieces read as a unigram model, against enumeration of all segmentations."""
+def least_weight(own, text, at=0, last=-1):
+    """Least weight of all paths of the composition, by enumeration."""
+    if at == len(text):
+        return 0.0
+    found = [math.inf]
+    for end, piece in own.arcs(text, at):
+        weight, state = own.weights[piece] if piece >= 0 else 0.0 if own.neighbours else 10.0 - own.lowest, -1
+        if own.neighbours:
+            state = piece if piece >= 0 else -2 - ord(text[at])
+            if not own.neighbours.finite(last, state):
+                continue
+        found.append(weight + least_weight(own, text, end, state))
+    return min(found)
+
+
+def edited(raw, **changes):
+    """The model file with another model type, kinds of pieces, or normaliser."""
+
+    def field(number, value):
+        def varint(n):
+            return (bytes([n & 127 | 128]) + varint(n >> 7)) if n > 127 else bytes([n])
+
+        return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+    out = []
+    for number, value in wfst._fields(raw):
+        if number == 1 and (kind := changes.get("kinds", {}).get(dict(wfst._fields(value)).get(1, b"").decode())):
+            value = bytes(value) + field(3, kind)
+        elif number == 1 and changes.get("model_type") == wfst.UNIGRAM:  # scores as unigram models have them
+            (rank,) = struct.unpack("<f", dict(wfst._fields(value)).get(2, b"\0\0\0\0"))
+            value = bytes(value) + b"\x15" + struct.pack("<f", max(rank, -30_000) / 2000)
+        elif number == 2 and "model_type" in changes:
+            value = bytes(value) + field(3, changes["model_type"])
+        elif number == 3 and "normaliser" in changes:
+            value = changes["normaliser"]
+        out.append(field(number, value))
+    return b"".join(out)
+
+
+def test_paths_are_shortest(pieces):
+    """BPE and, with the same pieces, unigram paths against enumeration of all paths."""
     _, own = pieces
-    for text in ("▁hello", "▁thehe", "▁abcab", "▁é漢x"):
-
-        def least(at):
-            if at == len(text):
-                return 0.0
-            return min([least(end) - (own.scores[p] if p >= 0 else own.lowest - 10.0) for end, p in own.arcs(text, at)])
-
-        path, at, total = own._least_path(text), 0, 0.0
-        for end, piece in path:
-            assert (end, piece) in own.arcs(text, at)
-            total -= own.scores[piece] if piece >= 0 else own.lowest - 10.0
-            at = end
-        assert at == len(text) and total == pytest.approx(least(0))
+    with open(wfst.DEFAULT_MODEL, "rb") as f:
+        unigram = wfst.Transducer(edited(f.read(), model_type=wfst.UNIGRAM))
+    for machine in (own, unigram):
+        for text in ("▁hello", "▁thehe", "▁abcab", "▁é漢x", "▁ing▁"):
+            at, last, total = 0, -1, 0.0
+            for end, piece in machine.shortest(text):
+                assert (end, piece) in machine.arcs(text, at)
+                total += machine.weights[piece] if piece >= 0 else 0.0 if machine.neighbours else 10.0 - machine.lowest
+                at = end
+            assert at == len(text) and total == pytest.approx(least_weight(machine, text)) and total < math.inf
+
+
+def test_other_models_equal_the_library():
+    """Unigram weights, user-defined symbols, and the character map and white space rules of NFKC models."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    with open(wfst.DEFAULT_MODEL, "rb") as f:
+        raw = f.read()
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True).serialized_model_proto()
+    spec = next(v for n, v in wfst._fields(normaliser) if n == 3)
+    rng = np.random.default_rng(1)
+    alphabet = list("abc the ing ▁ \n\té漢字ﬁ①Ａ™ﾊﾞ½…\u200b\u3000🙂<s>aa  0123Ünß!!") + ["hello", "the", "  "]
+    cases = ["", " ", "  a  b ", "a ", " ▁", "ﬁne ①②", "the hello the", "Ａ　Ｂ"] + ["".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(400)]
+    for changes in ({"normaliser": spec}, {"kinds": {"hello": 4, "the": 4, "ing": 4}}, {"model_type": wfst.UNIGRAM}, {"normaliser": spec, "model_type": wfst.UNIGRAM}):
+        model = edited(raw, **changes)
+        library, own = sentencepiece.SentencePieceProcessor(model_proto=model), wfst.Transducer(model)
+        for text in cases:
+            if changes.get("model_type") == wfst.UNIGRAM:  # equal sums may be taken apart in several ways
+                got, wanted = own.encode(text).tolist(), library.encode(text)
+                assert library.decode(got) == library.decode(wanted), text
+                assert sum(own.weights[i] for i in got) == pytest.approx(sum(own.weights[i] for i in wanted), rel=1e-5), text
+            else:
+                assert own.encode(text).tolist() == library.encode(text), (changes, text)
+
+
+def test_long_documents_equal_the_library(pieces):
+    library, own = pieces
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdeéß漢🙂▁<"), rng.integers(1, 12))) for _ in range(3000)]
+    for text in (" ".join(rng.choice(words, 60_000)), "x" * 20_000, " " * 5000 + "é漢" * 5000, "ab " * 50_000):
+        assert own.encode(text).tolist() == library.encode(text)
 
 
 def test_tokens_of_awkward_documents(spark, awkward, nothing, pieces):

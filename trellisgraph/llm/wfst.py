@@ -1,25 +1,28 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Three transducers are compiled from a model file:
-
-* the normaliser maps text to escaped text (dummy prefix, white space written as U+2581, optional trimming);
-* the piece transducer is a trie over the pieces; each accepted piece outputs its id;
-* the byte transducer maps a character that no piece covers to its UTF-8 byte pieces (or to unknown).
-
-They are composed with an input lazily: a state of the composition is a position and, for BPE models, the last piece. The
-encoding is the shortest path in the tropical semiring (minimum, plus). Unigram models weigh an arc by the negative score
-of its piece. BPE models weigh arcs 0, and an arc may follow a piece only if merging the two pieces' characters in rank
-order yields exactly these two pieces (else its weight is infinite); a sequence whose pieces pairwise satisfy this is the
-one that greedy merging produces, so the shortest path is the library's encoding, not merely some segmentation.
-
-No piece has U+2581 after another character, so the composition falls apart into words, which are remembered up to a
-bound. Texts are encoded whole.
+Transducers are compiled from a model file:
+
+* ``Normaliser`` maps text to escaped text: the model's character map (longest match), white space, dummy prefix;
+* ``Pieces`` is a trie whose states read characters; a state that ends a piece leads back to the root, writes the piece's id
+  and weighs its negative score (unigram models) or 0 (BPE models);
+* byte fallback reads one character that no piece covers and writes the ids of its UTF-8 bytes (or the unknown id);
+* for BPE models, ``Neighbours`` reads ids; its state is the last one, and an arc weighs 0 if merging the characters of the
+  two pieces in rank order gives exactly these two pieces, else infinity. A sequence whose neighbours all satisfy this is the
+  one that greedy merging produces, so the only path of finite weight is the library's encoding.
+
+A text is composed with them, state by state: a state of the composition is a position, the trie's root, and the last piece.
+Positions only grow, so taking the states in their order and keeping the least sum of weights for each (the tropical
+semiring: minimum, plus) gives the shortest path, which is the encoding.
+
+User-defined symbols are read as they stand and merge with nothing. No piece has U+2581 after another character, so the
+composition falls apart into words, whose paths are remembered up to a bound. Texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -62,15 +65,141 @@ def _fields(data: bytes):
         at += size
 
 
+class Normaliser:
+    """The first transducer. Its state: whether the last character written is white space, which may have to go at the end."""
+
+    def __init__(self, spec: dict, user: re.Pattern | None):
+        self.dummy_prefix, self.trim, self.escape = (bool(spec.get(i, 1)) for i in (3, 4, 5))
+        self.user = user
+        self.units, self.targets = (), b""
+        if spec.get(2):
+            (size,) = struct.unpack_from("<I", spec[2])
+            self.units, self.targets = struct.unpack_from(f"<{size // 4}I", spec[2], 4), spec[2][4 + size :]
+
+    def mapped(self, data: bytes, at: int) -> tuple[int, bytes | None]:
+        """(end, text) of the longest rule of the character map that begins here; the map is a double-array trie."""
+        units, found = self.units, (at, None)
+        if not units:
+            return found
+
+        def offset(unit: int) -> int:
+            return unit >> 10 << ((unit & 1 << 9) >> 6)
+
+        node = offset(units[0])
+        for end in range(at, len(data)):
+            node ^= data[end]
+            if node >= len(units) or units[node] & 0x800000FF != data[end]:
+                break
+            unit = units[node]
+            node ^= offset(unit)
+            if unit >> 8 & 1:
+                begin = units[node] & 0x7FFFFFFF
+                found = end + 1, self.targets[begin : self.targets.index(b"\0", begin)]
+        return found
+
+    def arcs(self, text: str) -> Iterator[str]:
+        """What each arc on the path of a text writes, before white space is seen to."""
+        if not self.units:
+            yield from self.user.split(text) if self.user else text
+            return
+        for i, part in enumerate(self.user.split(text) if self.user else [text]):
+            if i % 2:
+                yield part
+                continue
+            data, at = part.encode("utf-8", "surrogatepass"), 0
+            while at < len(data):
+                end, target = self.mapped(data, at)
+                if target is None:
+                    first = data[at]
+                    end = at + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+                    target = data[at:end]
+                yield target.decode("utf-8", "replace")
+                at = end
+
+    def write(self, text: str) -> str:
+        """The text that the transducer writes for a whole text."""
+        space = SPACE if self.escape else " "
+        out: list[str] = []
+        after_space = self.trim
+        for part in self.arcs(text):
+            if after_space:
+                part = part.lstrip(" ")
+            if self.trim:
+                part = re.sub("  +", " ", part)
+            if part:
+                if not out and self.dummy_prefix:
+                    out.append(space)
+                out.append(part.replace(" ", space))
+                after_space = self.trim and part[-1] == " "
+        whole = "".join(out)
+        if self.trim:
+            while whole.endswith(space):
+                whole = whole[: -len(space)]
+        return whole
+
+
+class Pieces:
+    """The second transducer: a trie from characters to ids. State 0 is the root."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.writes: list[int] = [-1]
+        for piece, i in pieces.items():
+            state = 0
+            for c in piece:
+                following = self.arcs[state].get(c)
+                if following is None:
+                    following = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.writes.append(-1)
+                state = following
+            self.writes[state] = i
+
+
+class Neighbours:
+    """The last transducer of BPE models: state and input are symbols, a piece's id or, of other characters, -2 - code point."""
+
+    def __init__(self, pieces: list[str], ids: dict[str, int], scores: list[float]):
+        self.pieces, self.ids, self.scores = pieces, ids, scores
+        self.known: dict[int, bool] = {}
+
+    def text(self, symbol: int) -> str:
+        return self.pieces[symbol] if symbol >= 0 else chr(-2 - symbol)
+
+    def merged(self, text: str) -> list[str]:
+        """Greedy merging in rank order; defines which symbols may be neighbours."""
+        parts = list(text)
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                piece = self.ids.get(parts[i] + parts[i + 1])
+                if piece is not None and (best is None or self.scores[piece] > best):
+                    best, at = self.scores[piece], i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def finite(self, last: int, symbol: int) -> bool:
+        """Whether the arc of a symbol weighs 0 rather than infinity; last is -1 at the start."""
+        key = last << 32 ^ symbol
+        known = self.known.get(key)
+        if known is None:
+            if len(self.known) >= PAIR_CACHE:
+                self.known.clear()
+            pair = [self.text(symbol)] if last == -1 else [self.text(last), self.text(symbol)]
+            known = self.known[key] = self.merged("".join(pair)) == pair
+        return known
+
+
 class Transducer:
-    """A compiled model. ``load`` reads its bytes; an instance remembers words."""
+    """A compiled model; an instance remembers words."""
 
     def __init__(self, model: bytes):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
         self.model_type, self.byte_fallback = UNIGRAM, False
-        self.dummy_prefix, self.trim, self.escape = True, True, True
+        spec: dict = {}
         for number, value in _fields(model):
             if number == 1:
                 own = {1: b"", 2: b"\0\0\0\0", 3: NORMAL} | dict(_fields(value))
@@ -78,156 +207,110 @@ class Transducer:
                 self.scores.append(struct.unpack("<f", own[2])[0])
                 self.kinds.append(own[3])
             elif number == 2:
-                spec = dict(_fields(value))
-                self.model_type, self.byte_fallback = spec.get(3, UNIGRAM), bool(spec.get(35, 0))
+                trainer = dict(_fields(value))
+                self.model_type, self.byte_fallback = trainer.get(3, UNIGRAM), bool(trainer.get(35, 0))
             elif number == 3:
                 spec = dict(_fields(value))
-                if spec.get(2):
-                    raise ValueError("models with a character map are not supported")
-                self.dummy_prefix, self.trim, self.escape = (bool(spec.get(i, 1)) for i in (3, 4, 5))
         if self.model_type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
         self.unknown = self.kinds.index(UNKNOWN)
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.bytewise = self.byte_fallback and len(self.byte_ids) == 256
-        normal = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER_DEFINED)]
+        normal = [i for i, k in enumerate(self.kinds) if k == NORMAL]
+        user = [i for i, k in enumerate(self.kinds) if k == USER_DEFINED]
         self.ids = {self.pieces[i]: i for i in normal}
-        self.trie: dict = {}
-        for i in normal:
-            node = self.trie
-            for c in self.pieces[i]:
-                node = node.setdefault(c, {})
-            node[""] = i
+        self.user = {self.pieces[i]: i for i in user}
+        whole = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if user else None
+        self.normaliser = Normaliser(spec, whole)
+        self.trie = Pieces(self.ids if self.model_type == BPE else self.ids | self.user)
+        self.neighbours = Neighbours(self.pieces, self.ids, self.scores) if self.model_type == BPE else None
+        self.apart = whole if self.model_type == BPE else None
         self.lowest = min((self.scores[i] for i in normal), default=0.0)
-        crossing = any(SPACE in self.pieces[i].lstrip(SPACE) for i in normal)
+        highest = max((self.scores[i] for i in normal), default=0.0)
+        self.weights = [-s for s in self.scores] if self.model_type == UNIGRAM else [0.0] * len(self.scores)
+        for i in user:  # always worth more than what they are made of
+            self.weights[i] = 0.1 - len(self.pieces[i]) * highest
+        crossing = any(SPACE in self.pieces[i].lstrip(SPACE) for i in [*normal, *user])
         self.parts = re.compile(r"(?s).+" if crossing else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         #: Whether each word between single spaces becomes a space and the word, on a path of its own.
-        self.plain = not crossing and self.dummy_prefix and self.escape
-        self.pairs: dict[int, bool] = {}
+        self.plain = not crossing and not user and not self.normaliser.units and self.normaliser.dummy_prefix and self.normaliser.escape
         self.words = _Words(self)
         # Decoding: the bytes of each piece, end to end.
         raw = [bytes([int(p[1:-1], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.raw_sizes = np.array([len(r) for r in raw], np.int64)
         self.raw_starts = np.concatenate(([0], np.cumsum(self.raw_sizes)[:-1]))
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-
-    def normalise(self, text: str) -> str:
-        if self.trim:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        if self.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
-
-    def merged(self, text: str) -> list[str]:
-        """Greedy merging in rank order; defines which pairs of pieces may be neighbours."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def compatible(self, left: int, right: int) -> bool:
-        key = left * len(self.pieces) + right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIR_CACHE:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(self.pieces[left] + self.pieces[right]) == [self.pieces[left], self.pieces[right]]
-        return known
+        self.dummy_prefix = self.normaliser.dummy_prefix
 
     def fallback(self, char: str) -> list[int]:
+        """What byte fallback writes for a character."""
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytewise else [self.unknown]
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the arcs that leave a position, shortest first; piece -1 for bytes."""
-        found = []
-        node = self.trie
+        """(end, piece) of the ways from a position back to the trie's root, shortest first; piece -1 is byte fallback."""
+        found, state = [], 0
+        arcs, writes = self.trie.arcs, self.trie.writes
         for end in range(at, len(text)):
-            node = node.get(text[end])
-            if node is None:
+            state = arcs[state].get(text[end], 0)
+            if not state:
                 break
-            if "" in node:
-                found.append((end + 1, node[""]))
+            if writes[state] >= 0:
+                found.append((end + 1, writes[state]))
         if not found or found[0][0] != at + 1:
             found.insert(0, (at + 1, -1))
         return found
 
-    def path(self, text: str) -> list[int]:
-        """Ids on the shortest path of normalised text through pieces and bytes."""
-        found = self._finite_path(text) if self.model_type == BPE else self._least_path(text)
-        out: list[int] = []
-        at = 0
-        for end, piece in found:
-            out.extend([piece] if piece >= 0 else self.fallback(text[at:end]))
-            at = end
-        return out
-
-    def _finite_path(self, text: str) -> list[tuple[int, int]]:
-        """BPE: arcs weigh 0 or infinity, so the one finite path is shortest; depth first, long arcs first, and states
-        that led nowhere are remembered."""
-        n, size, pairs = len(text), len(self.pieces), self.pairs
-        path: list[tuple[int, int]] = []
-        waiting = [self.arcs(text, 0)] if n else []
-        dead: set[tuple[int, int]] = set()
-        while waiting and (path[-1][0] if path else 0) < n:
-            last = path[-1][1] if path else -1
-            arcs = waiting[-1]
-            while arcs:
-                arc = arcs.pop()
-                piece = arc[1]
-                if piece >= 0:
-                    known = pairs.get(last * size + piece if last >= 0 else -1 - piece)
-                    if known is None:
-                        known = self.compatible(last, piece) if last >= 0 else self.canonical(piece)
-                    if not known:
-                        continue
-                if arc not in dead:
-                    path.append(arc)
-                    if arc[0] < n:
-                        waiting.append(self.arcs(text, arc[0]))
-                    break
-            else:
-                waiting.pop()
-                dead.add(path.pop())
-        return path
-
-    def _least_path(self, text: str) -> list[tuple[int, int]]:
-        """Unigram: least sums over positions; of equal paths the first found stays."""
-        n = len(text)
-        dist = [0.0] + [float("inf")] * n
-        back: list[tuple[int, int]] = [(-1, -1)] * (n + 1)
+    def shortest(self, text: str) -> list[tuple[int, int]]:
+        """(end, piece) on the shortest path of normalised text through the composition; of equal ones the first found."""
+        n, neighbours, weights = len(text), self.neighbours, self.weights
+        # For each position: state of the last transducer -> (weight, position and state before, piece).
+        columns: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
+        columns[0][-1] = (0.0, 0, -1, -1)
+        known = neighbours.known.get if neighbours else None
         for at in range(n):
+            column = columns[at]
+            if not column:
+                continue
             for end, piece in self.arcs(text, at):
-                d = dist[at] - (self.scores[piece] if piece >= 0 else self.lowest - 10.0)
-                if d < dist[end]:
-                    dist[end], back[end] = d, (at, piece)
+                weight, state, target = weights[piece] if piece >= 0 else 0.0 if neighbours else 10.0 - self.lowest, -1, columns[end]
+                if neighbours:
+                    state = piece if piece >= 0 else -2 - ord(text[at])
+                for last, (before, *_) in column.items():
+                    if neighbours:
+                        finite = known(last << 32 ^ state)
+                        if finite is None:
+                            finite = neighbours.finite(last, state)
+                        if not finite:
+                            continue
+                    total = before + weight
+                    if state not in target or total < target[state][0]:
+                        target[state] = (total, at, last, piece)
         path = []
-        at = n
+        at, state = n, min(columns[n], key=lambda s: columns[n][s][0], default=-1)
         while at:
-            path.append((at, back[at][1]))
-            at = back[at][0]
+            _, before, last, piece = columns[at][state]
+            path.append((at, piece))
+            at, state = before, last
         return path[::-1]
 
-    def canonical(self, piece: int) -> bool:
-        """Whether merging a piece's characters yields the piece."""
-        key = -1 - piece
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.pairs[key] = self.merged(self.pieces[piece]) == [self.pieces[piece]]
-        return known
+    def path(self, text: str) -> list[int]:
+        """What the composition writes on the shortest path of normalised text."""
+        out: list[int] = []
+        for i, part in enumerate(self.apart.split(text) if self.apart else [text]):
+            if i % 2:
+                out.append(self.user[part])
+                continue
+            at = 0
+            for end, piece in self.shortest(part):
+                out.extend([piece] if piece >= 0 else self.fallback(part[at:end]))
+                at = end
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, as int32."""
         if self.plain and SPACE not in text and "" not in (parts := text.split(" ")):
             return np.frombuffer(b"".join(map(self.words.__getitem__, parts)), np.int32)
-        normal = self.normalise(text)
+        normal = self.normaliser.write(text)
         if not normal:
             return np.empty(0, np.int32)
         return np.frombuffer(b"".join(self.words[p[1:]] if p[0] == SPACE else np.array(self.path(p), np.int32).tobytes() for p in self.parts.findall(normal)), np.int32)
