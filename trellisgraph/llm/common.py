@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Texts are handed to the numeric kernels in blocks of about this many UTF-8 bytes.
 BLOCK_BYTES = 4 << 20
@@ -20,10 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, else (tests) a local one that is set here."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``, else, in local mode only, one that is made here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        # Only reached where no cluster names a folder, that is, in one local JVM.
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="trellisgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -39,11 +41,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote; nothing may read the frame afterwards."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote; nothing may read the frames afterwards."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -54,12 +56,27 @@ def fold(id_col: str, n: int) -> Column:
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows, chosen by the hash of a key, and never over twice as many; the same ones on every run.
 
-    Nothing is sorted and no task sends more than its share, however many partitions there are.
+    Nothing is sorted and no task sends more than its share, however many partitions there are, unless keys repeat so often
+    that more are chosen.
     """
     total = df.count()
     share = min(1.0, rows / max(total, 1))
-    chosen = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int(share * (1 << 31)))
-    return chosen.limit(2 * rows) if chosen.count() > 2 * rows else chosen
+    return at_most(df.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int(share * (1 << 31))), 2 * rows)
+
+
+def at_most(df: DataFrame, rows: int) -> DataFrame:
+    """All rows, or if there are more those with the least hashes of their values, so that every run takes the same ones."""
+    if df.count() <= rows:
+        return df
+    return df.orderBy(F.xxhash64(*df.columns), *[F.hash(c) for c in df.columns[:1]]).limit(rows)
+
+
+def wrapped(docs: DataFrame, *beside: str) -> DataFrame:
+    """The rows as one struct ``doc``, so that no name within clashes with an operator's, and the columns named beside it.
+
+    ``doc.*`` gives the rows back.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[F.col(f"`{c}`").alias(c) for c in beside])
 
 
 def per_text(
@@ -70,10 +87,12 @@ def per_text(
     ``make`` runs once per task and returns a function from a list of UTF-8 texts to new columns.
     Only ``keep`` and the text reach Python, so clashing extra columns cannot interfere.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(b"")) if binary else F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     kept = df.select(*[F.col(f"`{c}`") for c in keep], text.alias("__text"))
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [schema])
-    arrow_schema = _arrow(df.sparkSession, out_schema)
+    out_schema = StructType([*kept.schema.fields[:-1], *StructType.fromDDL(schema).fields])
+    arrow_schema = to_arrow_schema(out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
@@ -102,10 +121,3 @@ def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, side="right")))
         yield batch.slice(start, stop - start)
         start, base = stop, int(ends[stop - 1])
-
-
-def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))

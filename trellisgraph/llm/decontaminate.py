@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, wrapped
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -196,10 +196,10 @@ def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
     Words are those of ``folded_words_of``.
     """
-    kept = docs
+    kept = wrapped(docs).select("doc", F.col(f"doc.`{text_col}`").alias("text"))
     for sketches in _blocks(docs, items, threshold, item_col, item_text_col, folded_words_of):
-        kept = _with_leaks(kept, docs.columns, text_col, sketches).where(F.size("__leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept
+        kept = _with_leaks(kept, ["doc", "text"], "text", sketches).where(F.size("__leaks") == 0).select("doc", "text")
+    return kept.select("doc.*")
 
 
 #: The exact rule as SQL, over whole tables.

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, materialize, per_text
+from .common import at_most, bounded_sample, fold, materialize, per_text
 
 SAMPLE_ROWS = 20_000
 TREES = 24
@@ -186,7 +186,7 @@ def fit(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     known = bounded_sample(known.where(fold("__id", folds) != held), "__id", SAMPLE_ROWS)
     columns = [f"{PREFIX}{s}" for s in STATISTICS]
     joined = statistics.join(known, F.col(id_col) == F.col("__id")).select("__id", *columns, "__y")
-    sample = joined.limit(4 * SAMPLE_ROWS).toPandas().sort_values(["__id", *columns, "__y"])  # over SAMPLE_ROWS only if ids repeat
+    sample = at_most(joined, 4 * SAMPLE_ROWS).toPandas().sort_values(["__id", *columns, "__y"])  # over SAMPLE_ROWS only if ids repeat
     return fit_rules(sample[columns].to_numpy(float), (sample["__y"].to_numpy(float) >= 0.5).astype(float))
 
 

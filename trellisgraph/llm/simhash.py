@@ -11,9 +11,9 @@ differs in at most one bit, one of its halves is equal as well. So each distinct
 keys, and members of one key are compared only if the cumulative chain budgets hold; then follows the full check.
 
 Scale: equal fingerprints collapse first, so groups of exact copies cost one row. A key's members are compared in numpy
-blocks and leave a spanning forest (fewer links than members), never all pairs. Keys with more than ``TILE`` members are
-set aside and compared tile by tile in many tasks, which loses no link. Components come from alternating star
-contraction over written tables.
+blocks and, beyond ``SHORT`` members, leave a spanning forest (fewer links than members). Keys with more than ``TILE`` members
+are dealt out to many tasks before they are shuffled, and compared tile by tile, which loses no link. Components come from
+alternating star contraction over written tables.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_text, release
+from .common import materialize, per_text, release, wrapped
 
 TAU = 3
 #: Members of one search key that one task compares; more are dealt out as pairs of chunks.
 TILE = 1 << 15
+#: Members of a key that are compared all at once (28 pairs); more leave a spanning forest.
+SHORT = 8
 WIDTH = 3
 SEED = 42
 SEGMENT = 0xFFFF
@@ -56,11 +58,11 @@ def fingerprint(text: bytes) -> int:
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row per input row; fp holds the 64 bits as a signed long."""
+    return per_text(docs, "fp bigint", _fingerprints, [id_col], text_col)
 
-    def make():
-        return lambda texts: {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
 
-    return per_text(docs, "fp bigint", make, [id_col], text_col)
+def _fingerprints():
+    return lambda texts: {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
 
 
 def _chain_masks(rotation: int) -> list[tuple[np.uint64, int]]:
@@ -98,63 +100,53 @@ def _forest(fps: np.ndarray, masks: list[tuple[np.uint64, int]]) -> Iterator[tup
                     yield one, other
 
 
-def _link_keys(limit: int):
-    """Turns sorted (key, fp) batches into links, or, for keys over ``limit``, hands the rows on."""
+def _link_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns (key, rotation, fp) batches, sorted by key, into links."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    all_masks = [_chain_masks(i) for i in range(4)]
 
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def emit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], schema=schema)
-
-    def whole_runs(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def whole_runs(keys: np.ndarray, rotations: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(keys)])))
-        small = (sizes > 1) & (sizes <= 64)
-        # Short runs: compare neighbours at each offset, all runs at once.
-        begin, size = starts[small], sizes[small]
+        # Runs of up to SHORT members: compare neighbours at each offset, all runs at once.
+        short = (sizes > 1) & (sizes <= SHORT)
+        begin, size = starts[short], sizes[short]
         offset = 1
         while len(begin):
             at = np.repeat(begin - np.concatenate(([0], np.cumsum(size - offset)))[:-1], size - offset) + np.arange((size - offset).sum())
             diff = fps[at] ^ fps[at + offset]
-            rotation = (keys[at] >> 25) & 3
             ok = np.ones(len(at), bool)
-            for i in range(4):
-                for mask, budget in _chain_masks(i):
-                    ok &= (rotation != i) | (np.bitwise_count(diff & mask) <= budget)
-            if ok.any():
-                a, b = fps[at[ok]].view(np.int64), fps[at[ok] + offset].view(np.int64)
-                yield np.full(len(a), -1, np.int64), a, b
+            for i, masks in enumerate(all_masks):
+                for mask, budget in masks:
+                    ok &= (rotations[at] != i) | (np.bitwise_count(diff & mask) <= budget)
+            yield fps[at[ok]], fps[at[ok] + offset]
             offset += 1
             more = size > offset
             begin, size = begin[more], size[more]
-        for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-            members = fps[start : start + size]
-            if size > limit:
-                yield np.full(size, keys[start]), members.view(np.int64), np.full(size, size, np.int64)
-            elif links := list(_forest(members, _chain_masks(int(keys[start] >> 25) & 3))):
-                both = np.array(links, np.uint64).view(np.int64)
-                yield np.full(len(both), -1, np.int64), both[:, 0], both[:, 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, f = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-            # All but the last key of the batch are complete.
-            cut = int(np.searchsorted(k, k[-1], side="left"))
-            keys.append(k[:cut])
-            fps.append(f[:cut])
-            if cut:
-                if rows := list(whole_runs(np.concatenate(keys), np.concatenate(fps))):
-                    yield emit(rows)
-                keys, fps = [], []
-            keys.append(k[cut:])
-            fps.append(f[cut:])
-        if keys and (rows := list(whole_runs(np.concatenate(keys), np.concatenate(fps)))):
-            yield emit(rows)
-
-    return run
+        for start, size in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
+            found = np.array(list(_forest(fps[start : start + size], all_masks[rotations[start]])), np.uint64).reshape(-1, 2)
+            yield found[:, 0], found[:, 1]
+
+    def emit(columns: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate(c).view(np.int64) for c in zip(*whole_runs(*map(np.concatenate, columns)), strict=True)) if columns[0] else ([], [])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    waiting: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+        # All but the last key of the batch are complete.
+        cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1 if columns[0][0] != columns[0][-1] else 0
+        if cut or waiting[0] and waiting[0][-1][-1] != columns[0][0]:
+            for w, c in zip(waiting, columns, strict=True):
+                w.append(c[:cut])
+            yield from emit(waiting)
+            waiting = [[], [], []]
+        for w, c in zip(waiting, columns, strict=True):
+            w.append(c[cut:])
+    yield from emit(waiting)
 
 
 def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
@@ -168,23 +160,16 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
             keys.append(F.lit(i << 25 | half << 24) + F.shiftleft(segment, 8) + part)
     # Key: 2 bits of rotation (25, 26), the half (24), 16 bits of segment, 8 of the half segment.
     filed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    dealt = filed.repartition("key").sortWithinPartitions("key", "fp")
-    found = materialize(dealt.mapInArrow(_link_keys(tile), "key bigint, a bigint, b bigint"), "simhash-links")
-    direct = found.where("key = -1").select("a", "b")
-    aside = found.where("key <> -1")
-    if aside.isEmpty():
-        return direct
-    # Chunks of at most about half a tile; each pair of chunks meets in one tile, in a task of its own.
-    chunks = F.ceil(F.col("b") * 2.5 / tile).cast("long")
-    mine = F.pmod(F.xxhash64("a"), F.col("chunks"))
+    # Hot keys are dealt before they are shuffled, into chunks of at most about half a tile; each pair of chunks meets in one
+    # tile, in a task of its own. They are few: at most one for ``tile`` rows.
+    hot = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    chunks = F.coalesce(F.ceil(F.col("n") * 2.5 / tile).cast("long"), F.lit(1).cast("long"))
+    dealt = filed.join(hot, "key", "left").select("fp", "key", chunks.alias("chunks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    tiles = (
-        aside.select("key", "a", chunks.alias("chunks"))
-        .select("key", "a", "chunks", mine.alias("mine"), other.alias("other"))
-        .select((F.shiftleft(F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other"), 27) + F.col("key")).alias("key"), F.col("a").alias("fp"))
-    )
-    more = tiles.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_keys(1 << 62), "key bigint, a bigint, b bigint")
-    return materialize(direct.unionByName(more.select("a", "b")), "simhash-links")
+    dealt = dealt.select("fp", "key", "chunks", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("mine"), other.alias("other"))
+    named = F.shiftleft(F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other"), 27) + F.col("key")
+    tiles = dealt.select(named.alias("key"), F.shiftright("key", 25).cast("int").alias("rotation"), "fp")
+    return materialize(tiles.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_keys, "a bigint, b bigint"), "simhash-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,10 +213,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the smallest id; of repeated rows with that id, one. Columns and types stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    chosen = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("__rows"))
-    chosen = materialize(chosen, "simhash-kept")
-    # Always a sorted merge: a list that is broadcast while it is small would make costs jump with size.
-    kept = docs.join(chosen.select("__keep").hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    return kept if chosen.where("__rows > 1").isEmpty() else kept.dropDuplicates([id_col])
+    """One document of each group: the smallest id, null last; of repeated rows with that id, one. Columns and types stay.
+
+    Every row has a number of its own, by which it is kept, so rows that share an id are apart.
+    """
+    numbered = wrapped(docs).select("doc", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(per_text(numbered, "fp bigint", _fingerprints, ["doc", "id", "row"], "text"), "simhash-rows")
+    least = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("least")), "simhash-distinct")
+    roots = components(links(least.select("fp")))
+    labelled = least.join(roots, least.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    chosen = materialize(labelled.groupBy("root").agg(F.min("least").alias("least")).select("least.row"), "simhash-kept")
+    release(least)
+    return rows.join(chosen, "row", "left_semi").select("doc.*")
