@@ -128,9 +128,9 @@ def _link_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield found[:, 0], found[:, 1]
 
     def emit(columns: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        a, b = (np.concatenate(c).view(np.int64) for c in zip(*whole_runs(*map(np.concatenate, columns)), strict=True)) if columns[0] else ([], [])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+        found = list(whole_runs(*map(np.concatenate, columns))) if columns[0] else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*found, strict=True)], schema=schema)
 
     waiting: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
