@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from trellisgraph.llm import chat, html_extract, queries, url_filter
 
@@ -83,6 +84,40 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert wrong == 0 and len(cascade.levels) > 1
 
 
+def many_rules():
+    return [(f"h{i}.org", "/" + "ab"[i % 2], ("block", "allow")[i % 3 == 0]) for i in range(3000)] + [("org", "/a", "block"), ("h7.org", "/b/x", "allow")]
+
+
+@pytest.mark.parametrize("literal_bytes", [url_filter.LITERAL_BYTES, 100])
+def test_many_rules_match_brute_force(spark, monkeypatch, literal_bytes):
+    """Filters of many words, and the join that takes their place beyond the size of a literal."""
+    monkeypatch.setattr(url_filter, "LITERAL_BYTES", literal_bytes)
+    rules = many_rules()
+    urls = [f"http://{('', 'x.')[i % 2]}h{i % 4000}.org/{'abc'[i % 3]}{('', '/x')[i % 5 == 0]}" for i in range(9000)] + [None, "http://other.com/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    by_rule = {(h, p): v for h, p, v in rules}
+    for r in url_filter.judge(pages, rules).collect():
+        labels = r.host.split(".")
+        hits = [(len(h) + len(p), h, p) for n in range(1, len(labels) + 1) for h in [".".join(labels[-n:])] for p in ("/a", "/b", "/b/x") if (h, p) in by_rule and r.path.startswith(p)]
+        best = max(hits)[1:] if hits else None
+        assert (r.rule, r.verdict) == ((best[0] + best[1], by_rule[best]) if best else (None, "allow"))
+
+
+def test_filters_are_planned_quickly(spark):
+    import time
+
+    listed = spark.range(60_000).selectExpr("concat('k', id) as key")
+    cascade = url_filter.Cascade.build(listed, spark.range(200_000).selectExpr("concat('k', id) as key"))
+    began = time.monotonic()
+    assert spark.range(200_000).selectExpr("concat('k', id) as key").where(cascade.holds(F.col("key"))).count() == 60_000
+    assert time.monotonic() - began < 8 and len(cascade.levels[0].words) > 1000
+
+
+def test_judging_runs_no_python(spark, small):
+    plan = queries.op7_url_cascade(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan and "Arrow" not in plan
+
+
 def test_awkward_conversations(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "again"), (1, 2, "assistant", "again"), (2, 0, "user", None), (3, None, None, "x"), (3, 1, "system\nrole", "<|im_start|>\\n<\\|"),
