@@ -1,7 +1,9 @@
 """Operators on pages and conversations."""
 
 import html
+import random
 import re
+from itertools import accumulate
 
 import duckdb
 import pytest
@@ -42,6 +44,54 @@ def test_shapes_of_pages(source, text):
     assert html_extract.extract(source) == text
 
 
+def test_scan_finds_the_best_of_all_regions():
+    rng = random.Random(4)
+    for _ in range(300):
+        scores = [rng.choice([-3.0, -1.5, -0.5, 0.0, 0.5, 2.0]) for _ in range(rng.randrange(30))]
+        start, stop = html_extract.best_region(scores)
+        every = [sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1)]
+        assert sum(scores[start:stop]) == max(every, default=0)
+
+
+def test_pages_match_a_search_over_all_regions(spark, small):
+    """Whole pages: the text is that of the best of all regions of their tokens."""
+    model = html_extract.model()
+    for r in spark.read.parquet(f"{small}/pages.parquet").limit(8).collect():
+        page = html_extract.Page(r.html, model)
+        scores = [model.score(t) for t in page.tokens]
+        upto = [0.0, *accumulate(scores)]
+        best = max(((upto[b] - upto[a], a, b) for a in range(len(scores)) for b in range(a, len(scores) + 1)), key=lambda x: (round(x[0], 6), -(x[2] - x[1])))
+        assert html_extract.extract(r.html) == "\n\n".join(page.blocks(best[1], best[2]))
+
+
+WORDS = "Yeast eats the sugar of the flour and breathes out gas, which the dough holds in many small bubbles."
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<article><div class="article-header"><h1>Title of it</h1></div><p>Body words here now.</p></article>', "Title of it\n\nBody words here now."),
+        (f'<article><h1>T</h1><section id="search-results"><p>{WORDS}</p></section><p class="warning">Mind the step here.</p></article>', f"T\n\n{WORDS}\n\nMind the step here."),
+        (f"<div><h1>Dough</h1><p>{WORDS}</p><p>{WORDS}</p></div><footer>Made by us</footer><p>Terms of use of this site apply to you.</p>", f"Dough\n\n{WORDS}\n\n{WORDS}"),
+        (f"<table><tr><td>{WORDS}</td></tr>{'<tr><td></td></tr>' * 60}<tr><td>{WORDS}</td></tr></table>", f"{WORDS}\n\n{WORDS}"),
+        (f"<article><p>{WORDS}</p><div class='advert'>Buy more of it now</div><div class='reader-comments'><p>I liked it.</p></div><div id='cookie-notice'>We use cookies.</div></article>", WORDS),
+        (f"<div class='content'><p>{WORDS}</p><div class='sidebar-right'>More of it</div></div><div class='site-footer'>Our address</div>", WORDS),
+    ],
+)
+def test_what_classes_decide(source, text):
+    assert html_extract.extract(source) == text
+
+
+@pytest.mark.parametrize("source", ["<b></i>" * 150_000, "<b>" * 100_000 + "<hr>" * 100_000, "<p><object>" + "<b>" * 100_000 + "<hr>" * 100_000, "<li>" * 200_000, "<option><td>" * 90_000])
+def test_broken_markup_takes_linear_time(source):
+    import time
+
+    html_extract.model()
+    began = time.process_time()
+    html_extract.extract(source + "<p>some words")
+    assert time.process_time() - began < 4
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 3000 + "deep words" + "</div>" * 3000
     rows = [(1, None), (2, ""), (3, "<p>x</p>"), (3, "<p>x</p>"), (None, "<p>y</p>"), (4, deep), (5, "<p " * 20000), (6, "<" * 50000)]
