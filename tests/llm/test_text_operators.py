@@ -65,6 +65,14 @@ def test_items_in_blocks_find_the_same(spark, small, monkeypatch):
     assert sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())) == whole
 
 
+def test_item_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEM_BYTES", 100)
+    long = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, f"a b {long} c"), (2, "w1 w2 w3"), (3, "x y z u v w")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, long), (2, "x y z u v w"), (3, "not in any of them")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()) == [(1, 1), (3, 2)]
+
+
 # Matroska
 
 
@@ -101,6 +109,40 @@ def test_groups_unknown_sizes_and_unknown_elements():
     assert media.cues == [(3 * matroska.TICK, 2, media.clusters[0])]
 
 
+def test_packet_table_of_broken_files(spark):
+    """Blocks outside clusters, floats of three bytes, deep nesting, and good files with bytes changed: null, never an error."""
+    e, m = matroska.element, matroska
+    deep = b""
+    for _ in range(3000):
+        deep = e(m.SEGMENT, deep)
+    bad = [e(m.SEGMENT, e(m.SIMPLE_BLOCK, m.block(1, 0, [b"x"]))), e(m.SEGMENT, e(m.INFO, e(m.DURATION, b"abc"))), deep, e(m.SEGMENT, e(m.BLOCK_GROUP, e(m.BLOCK, m.block(1, 0, [b"x"])))), e(m.BLOCK, b"")]
+    good, rng = m.write(m.payload_of(b"some text " * 300)), np.random.default_rng(0)
+    for _ in range(300):
+        changed = bytearray(good)
+        for at in rng.integers(0, len(good), 3):
+            changed[at] = int(rng.integers(0, 256))
+        bad.append(bytes(changed))
+    files = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bad)], "id long, data binary")
+    got = {r.id: r.packets for r in m.packet_table(files, "id", "data").collect()}
+    assert len(got) == len(bad) and not any(got[i] for i in range(5))
+
+
+def test_packets_follow_the_format(spark):
+    """Times, byte ranges and cues of a stored text, from its own arithmetic."""
+    payload = matroska.payload_of(bytes(range(32, 127)) * 700)
+    stored = matroska.write(payload)
+    media = matroska.parse(stored)
+    step = matroska.FRAME * 10**9 // matroska.RATE
+    assert [p[1] for p in media.packets] == [i * step for i in range(len(payload) // matroska.FRAME)]
+    assert b"".join(stored[p[2] : p[2] + p[3]] for p in media.packets) == payload
+    per_cluster = matroska.FRAMES_PER_BLOCK * matroska.BLOCKS_PER_CLUSTER
+    assert [(c[0], c[2]) for c in media.cues] == [(i * per_cluster * step, at) for i, at in enumerate(media.clusters)] and len(media.clusters) > 2
+    feature = dict(part.split("=") for part in matroska.feature(stored, media, payload).split(";") if "=" in part)
+    signal = [b for b in payload]
+    assert (int(feature["sum"]), int(feature["energy"]), int(feature["packets"]), int(feature["clusters"])) == (sum(signal), sum(b * b for b in signal), len(payload) // 192, len(media.clusters))
+    assert int(feature["crossings"]) == sum((a >= 128) != (b >= 128) for a, b in zip(signal, signal[1:]))
+
+
 def test_packet_table_of_bad_files(spark):
     good = matroska.write(matroska.payload_of(b"hello"))
     files = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"junk")), (4, bytearray(good[:-50]))], "id long, data binary")

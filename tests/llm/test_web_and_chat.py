@@ -171,7 +171,7 @@ def test_judging_runs_no_python(spark, small):
 def test_awkward_conversations(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "again"), (1, 2, "assistant", "again"), (2, 0, "user", None), (3, None, None, "x"), (3, 1, "system\nrole", "<|im_start|>\\n<\\|"),
-        (4, 5, "assistant", "first \\ <|im_end|>\n"), (4, 6, "user", "tail"), (5, 0, "assistant", ""), (6, 0, "user", "é🙂" * 30000), (6, 1, "assistant", "é🙂" * 30000),
+        (None, 0, "user", "no id"), (None, 1, "assistant", "of one conversation"), (None, 1, "assistant", "of one conversation"), (4, 5, "assistant", "first \\ <|im_end|>\n"), (4, 6, "user", "tail"), (5, 0, "assistant", ""), (6, 0, "user", "é🙂" * 30000), (6, 1, "assistant", "é🙂" * 30000),
     ]
     table = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, chars string")
     got = sorted([tuple(r) for r in chat.read_back(chat.expand(chat.with_probe(table))).collect()], key=str)

@@ -12,8 +12,9 @@ the sketch: no leak is lost to the sketch. A document streams through once: its
 largest sketch value are skipped, the others are looked up, and items with enough hits are verified by comparing whole
 shingles. Documents too small for a partition skip it. Nothing is shuffled.
 
-Items are the query set. They are sent to the executors in blocks of at most ``BLOCK_ITEM_BYTES`` of text; a larger
-benchmark takes several passes over the documents, never a larger broadcast.
+Items are the query set. They are sent to the executors in blocks of ``BLOCK_ITEM_BYTES`` of text or one longer item, as
+texts and arrays of hashes, some three times their size; a larger benchmark takes several passes over the documents, never
+a larger broadcast.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ THRESHOLD = 0.8
 BLOCK_ITEM_BYTES = 16 << 20
 #: Hashes of words that a task remembers.
 WORD_CACHE = 200_000
+#: Items whose shingles a task remembers.
+ITEM_CACHE = 500
 
 _SEPARATORS = bytes(c if not c < 0x30 and not 0x3A <= c <= 0x40 and not 0x5B <= c <= 0x60 and not 0x7B <= c <= 0x7F else 0x20 for c in range(256))
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else _SEPARATORS[c] for c in range(256))
@@ -95,7 +98,9 @@ class Sketches:
     def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD, words_of=words_of):
         hashes = _WordHashes()
         self.words_of = words_of
-        self.items: list[tuple[int, set[bytes], int]] = []  # id, shingles, allowed misses
+        self._wanted: dict[int, set[bytes]] = {}
+        #: Id, words, width, number of distinct shingles, allowed misses.
+        self.items: list[tuple[int, bytes, int, int, int]] = []
         parts: dict[tuple[int, int], list[int]] = defaultdict(list)
         own: list[np.ndarray] = []
         for item_id, text in items:
@@ -103,24 +108,24 @@ class Sketches:
             if not words:
                 continue
             width = min(WIDTH, len(words))
-            shingles = shingles_of(words, width)
-            parts[width, len(shingles).bit_length()].append(len(self.items))
-            self.items.append((item_id, shingles, int(len(shingles) * (1 - threshold) + 1e-9)))
+            n = len(shingles_of(words, width))
+            parts[width, n.bit_length()].append(len(self.items))
+            self.items.append((item_id, b" ".join(words), width, n, int(n * (1 - threshold) + 1e-9)))
             own.append(np.unique(_shingle_hashes(hashes.of(words), width)))
         #: For each partition: width, least shingles of a matching document, sketch values, and (value, item) pairs.
         self.parts = []
         self.need: list[int] = [0] * len(self.items)
         for (width, _), members in sorted(parts.items()):
-            k = max(int(len(self.items[i][1]) * (1 - threshold) + 1e-9) for i in members) + 1
+            k = max(self.items[i][4] for i in members) + 1
             values, who = [], []
             for i in members:
                 sketch = own[i][:k]
-                self.need[i] = max(1, len(sketch) - self.items[i][2])
+                self.need[i] = max(1, len(sketch) - self.items[i][4])
                 values.append(sketch)
                 who.append(np.full(len(sketch), i))
             value, item = np.concatenate(values), np.concatenate(who)
             order = np.argsort(value, kind="stable")
-            least = min(len(self.items[i][1]) - self.items[i][2] for i in members)
+            least = min(self.items[i][3] - self.items[i][4] for i in members)
             self.parts.append((width, least, value[order], item[order]))
 
     def matches(self, words: list[bytes], hashes: _WordHashes) -> Iterator[tuple[int, int, int]]:
@@ -142,15 +147,24 @@ class Sketches:
                 continue
             first, last = np.searchsorted(values, low, "left"), np.searchsorted(values, low, "right")
             hit = who[np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)])]
-            for i, n in zip(*(x.tolist() for x in np.unique(hit, return_counts=True)), strict=True):
-                if n < self.need[i]:
+            for i, hits in zip(*(x.tolist() for x in np.unique(hit, return_counts=True)), strict=True):
+                if hits < self.need[i]:
                     continue
                 if width not in shingles:
                     shingles[width] = shingles_of(words, width)
-                item_id, wanted, misses = self.items[i]
-                found = len(wanted & shingles[width])
-                if found >= len(wanted) - misses:
-                    yield item_id, len(wanted), found
+                item_id, _, _, n_wanted, misses = self.items[i]
+                found = len(self.wanted(i) & shingles[width])
+                if found >= n_wanted - misses:
+                    yield item_id, n_wanted, found
+
+    def wanted(self, i: int) -> set[bytes]:
+        """The shingles of an item; those of the items met last are remembered."""
+        known = self._wanted.get(i)
+        if known is None:
+            if len(self._wanted) >= ITEM_CACHE:
+                self._wanted.clear()
+            known = self._wanted[i] = shingles_of(self.items[i][1].split(), self.items[i][2])
+        return known
 
 
 def find_leaks(

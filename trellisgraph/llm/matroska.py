@@ -25,6 +25,8 @@ BLOCKS_PER_CLUSTER = 16
 RATE = 8000
 #: Nanoseconds of one tick of a timestamp.
 TICK = 1_000_000
+#: Levels of elements that the reader goes down; the format has fewer.
+DEEPEST = 32
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B
@@ -195,6 +197,8 @@ def parse(data: bytes) -> Media:
     def real(a: int, b: int) -> float:
         import struct
 
+        if b - a not in (0, 4, 8):
+            raise ValueError(f"a float of {b - a} bytes")
         return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b > a else 0.0
 
     def packets(a: int, b: int, cluster_time: int, key: bool | None) -> None:
@@ -206,8 +210,10 @@ def parse(data: bytes) -> Media:
             out.packets.append((track, (cluster_time + ticks) * out.scale + i * step, at, size, bool(flags & 0x80) if key is None else key, len(out.clusters) - 1, flags >> 1 & 3))
             at += size
 
-    def walk(at: int, end: int, state: dict) -> None:
+    def walk(at: int, end: int, state: dict, depth: int = 0) -> None:
         nonlocal base
+        if depth > DEEPEST:
+            raise ValueError(f"elements nested more than {DEEPEST} deep")
         for code, begin, a, b in elements(data, at, end):
             if code == SEGMENT:
                 base = a
@@ -215,10 +221,12 @@ def parse(data: bytes) -> Media:
                 out.clusters.append(begin)
                 state["time"] = 0
             inner = {} if code in (TRACK, CUE_POINT, BLOCK_GROUP) else state
+            if code in (SIMPLE_BLOCK, BLOCK, BLOCK_GROUP) and "time" not in state:
+                raise ValueError(f"a block outside a cluster at byte {begin}")
             if code == BLOCK_GROUP:
                 inner = {"time": state["time"], "key": not any(c[0] == REFERENCE for c in elements(data, a, b))}
             if code in _PARENTS:
-                walk(a, b, inner)
+                walk(a, b, inner, depth + 1)
             if code == TRACK:
                 out.tracks[inner.get("number", 0)] = inner
             elif code == CUE_POINT:
@@ -234,7 +242,7 @@ def parse(data: bytes) -> Media:
             elif code == SIMPLE_BLOCK:
                 packets(a, b, state["time"], None)
             elif code == BLOCK:
-                packets(a, b, state["time"], state["key"])
+                packets(a, b, state["time"], state.get("key", False))
             elif code == CODEC:
                 state["codec"] = data[a:b].decode()
             elif code == SAMPLING:
