@@ -302,6 +302,21 @@ def test_streams_append_to_graphs(spark, tmp_path):
         assert rows(s, "MATCH (a:A) RETURN COUNT(*) AS n, MAX(a.v) AS m") == [((i + 1) * 10, (i * 10 + 9) * 2)]
 
 
+def test_replayed_batches_are_skipped_after_a_restart(spark, tmp_path):
+    from trellisgraph.streaming import appending
+
+    spark.range(10).selectExpr("id AS _id", "id * 2 AS v").write.parquet(str(tmp_path / "in"))
+    for i in range(2):  # the second run has lost Spark's own progress and hands batch 0 over again
+        database = Database(spark, str(tmp_path / "db"))
+        s = database.session()
+        s.run("CREATE GRAPH IF NOT EXISTS g ANY GRAPH; SESSION SET GRAPH g")
+        stream = spark.readStream.schema("_id long, v long").parquet(str(tmp_path / "in"))
+        appending(stream, database, "g", ["A"]).option("checkpointLocation", str(tmp_path / f"state{i}")).trigger(availableNow=True).start().awaitTermination()
+        assert rows(s, "MATCH (a:A) RETURN COUNT(*) AS n") == [(10,)]
+    with pytest.raises(Exception, match="ids that the graph has"):
+        appending(stream, database, "g", ["A"], name="other").option("checkpointLocation", str(tmp_path / "state9")).trigger(availableNow=True).start().awaitTermination()
+
+
 def test_command_line(spark, tmp_path, capsys):
     import json
 
@@ -322,14 +337,97 @@ def test_command_line(spark, tmp_path, capsys):
 def test_branches_and_statistics(ledger):
     database = ledger.database
     database.create_branch("trial")
-    database.set_branch("trial")
+    other = database.session()
+    other.run("SESSION SET GRAPH ledger")
+    ledger.set_branch("trial")
     ledger.run("MATCH (a {name: 'A'}) SET a.balance = 7")
-    assert balances(ledger)[0] == ("A", 7)
-    database.set_branch("main")
+    assert balances(ledger)[0] == ("A", 7) and balances(other)[0] == ("A", 100)
+    ledger.set_branch("main")
     assert balances(ledger)[0] == ("A", 100)
     with pytest.raises(NotFound):
-        database.set_branch("nowhere")
+        ledger.set_branch("nowhere")
     assert database.statistics()["branches"] == 2
+    database.drop_branch("trial")
+    with pytest.raises(InvalidQuery):
+        database.drop_branch("main")
+
+
+def test_branches_are_stored(spark, tmp_path):
+    """A commit on a branch leaves main as it is, in memory and after the database is opened again."""
+    path = str(tmp_path / "db")
+    database = Database(spark, path)
+    s = database.session()
+    s.run("CREATE GRAPH g ANY GRAPH; SESSION SET GRAPH g; INSERT (:A {n: 1}), (:A {n: 2})")
+    database.create_branch("trial")
+    s.set_branch("trial")
+    s.run("MATCH (a {n: 1}) SET a.n = 10; CREATE GRAPH extra ANY GRAPH")
+    for again in (database, Database(spark, path)):
+        found = {}
+        for branch in ("main", "trial"):
+            t = again.session(branch)
+            t.run("SESSION SET GRAPH g")
+            found[branch] = (rows(t, "MATCH (a) RETURN a.n AS n ORDER BY n"), ("main", "extra") in again.state(branch).catalog.objects)
+        assert found == {"main": ([(1,), (2,)], False), "trial": ([(2,), (10,)], True)}
+
+
+def test_checkpoint_seals_and_removes(spark, tmp_path):
+    path = tmp_path / "db"
+    database = Database(spark, str(path))
+    s = database.session()
+    s.run("CREATE GRAPH g ANY GRAPH; SESSION SET GRAPH g; INSERT (:A {n: 1})-[:E]->(:A {n: 2})")
+    for i in range(12):
+        s.run(f"MATCH (a {{n: {i + 1}}}) SET a.n = {i + 2}" if i % 2 else "INSERT (:A {n: 50})")
+    before = rows(s, "MATCH (a) RETURN a.n AS n ORDER BY n")
+    files = lambda: (len(list((path / "data").iterdir())), len(list((path / "manifests").glob("*.json"))))
+    assert files()[0] > 10 and files()[1] > 10
+    database.checkpoint()
+    assert files() == (2, 1) and rows(s, "MATCH (a) RETURN a.n AS n ORDER BY n") == before
+    again = Database(spark, str(path)).session()
+    again.run("SESSION SET GRAPH g")
+    assert rows(again, "MATCH (a) RETURN a.n AS n ORDER BY n") == before and rows(again, "MATCH ()-[e]->() RETURN COUNT(*) AS n") == [(1,)]
+
+
+def test_changes_write_only_what_they_affect(spark, tmp_path):
+    """Neither a DELETE nor a SET rewrites a fragment; other fragments are not touched at all."""
+    database = Database(spark, str(tmp_path / "db"))
+    s = database.session()
+    s.create_graph("g", graph([fragment(spark.range(5000).selectExpr("id AS _id", "id AS n"), ["Big"]), fragment(spark.range(5000, 5010).selectExpr("id AS _id", "id AS n"), ["Small"])], []))
+    entry = database.catalog.objects["main", "g"].id
+    big, small = database.graphs[entry].nodes
+    s.run("MATCH (a:Small {n: 5003}) DELETE a; MATCH (a:Small {n: 5004}) SET a.n = 1")
+    after_big, after_small = database.graphs[entry].nodes
+    assert after_big.layers == () and [k for k, _ in after_small.layers] == ["rows", "gone", "gone", "rows"]
+    assert [f.count() for _, f in after_small.layers] == [10, 1, 1, 1]
+    assert rows(s, "MATCH (a:Small) RETURN COUNT(*) AS n, MIN(a.n) AS m") == [(9, 1)]
+
+
+def test_deleted_rows_cannot_be_read(spark):
+    s = Database(spark).session()
+    s.run("CREATE GRAPH g ANY GRAPH; SESSION SET GRAPH g; INSERT (a:C {n: 1})-[:E {w: 1}]->(b:C {n: 2})-[:E {w: 2}]->(c:C {n: 3})")
+    for text in (
+        "MATCH (a)-[:E]->(b) DETACH DELETE a RETURN b.n AS n",  # 2 is deleted as an a
+        "MATCH (a:C), (d:C {n: 1}) DETACH DELETE d RETURN a.n AS n",
+        "MATCH (a {n: 1}), (same {n: 1}) DETACH DELETE a RETURN same IS LABELED C AS n",
+        "MATCH (a {n: 1}) DETACH DELETE a RETURN a",
+        "MATCH (a {n: 1})-[e]->() DELETE e SET e.w = 5",
+    ):
+        with pytest.raises(ExecutionError):
+            s.run(text)
+    assert rows(s, "MATCH (a) RETURN COUNT(*) AS n") == [(3,)]
+    got = s.execute("MATCH (a:C) LET k = a.n MATCH (d:C {n: 1}) DETACH DELETE d FILTER k > 1 RETURN a.n AS n, a IS LABELED C AS c ORDER BY n")
+    assert got.rows() == [(2, True), (3, True)] and got.affected_elements == 2
+    got = s.execute("MATCH (a)-[e]->(b) DELETE e INSERT (:New {n: 9}) RETURN a.n AS a, b.n AS b")
+    assert got.rows() == [(2, 3)]
+
+
+def test_ids_have_no_gaps(spark):
+    s = Database(spark).session()
+    s.run("CREATE GRAPH g ANY GRAPH; SESSION SET GRAPH g")
+    s.create_graph("g", graph([fragment(spark.range(0, 40, 1, 8).selectExpr("id AS _id", "id AS n"), ["A"])], []))
+    s.run("MATCH (a:A) INSERT (a)-[:E]->(:B {n: a.n})")
+    entry = s.database.catalog.objects["main", "g"].id
+    data = s.database.graphs[entry]
+    assert data.next_id == 40 + 80 and rows(s, "MATCH (a:A)-[:E]->(b:B) FILTER a.n = b.n RETURN COUNT(*) AS n") == [(40,)]
 
 
 def test_elements_for_drawing(social):

@@ -54,6 +54,7 @@ def main(arguments: list[str] | None = None) -> int:
     load = commands.add_parser("import")
     load.add_argument("graph")
     load.add_argument("manifest")
+    commands.add_parser("checkpoint")
     options = parser.parse_args(arguments)
     if options.command == "run" and options.dump_ast:
         text = options.query or open(options.file).read()  # noqa: SIM115
@@ -64,6 +65,8 @@ def main(arguments: list[str] | None = None) -> int:
     try:
         if options.command == "import":
             session.create_graph(options.graph, read_manifest(spark, options.manifest))
+        elif options.command == "checkpoint":
+            session.database.checkpoint()
         elif options.command == "run":
             for result in session.run(options.query or open(options.file).read()):  # noqa: SIM115
                 print_result(result, options.explain)

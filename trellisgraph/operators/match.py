@@ -64,10 +64,17 @@ def apart(a: tuple, b: tuple, sources: dict[str, frozenset]) -> Column:
     return F.col(a[1]) != F.col(b[1])
 
 
-def scan(graph: GraphRef, kind: str, labels, wanted: set | None, directions: frozenset = frozenset("R"), spark=None) -> tuple[DataFrame, Element, str, str]:
-    """(rows, element, from, to) of the fragments that a label expression selects; ``wanted`` None reads all properties."""
+def scan(
+    graph: GraphRef, kind: str, labels, wanted: set | None, directions: frozenset = frozenset("R"), spark=None, once: bool = False, only: set | None = None
+) -> tuple[DataFrame, Element, str, str]:
+    """(rows, element, from, to) of the fragments that a label expression selects; ``wanted`` None reads all properties.
+
+    ``once`` gives undirected edges one way only; ``only`` restricts the fragments by number.
+    """
     fits = []
     for i, f in enumerate(graph.data.fragments(kind)):
+        if only is not None and i not in only:
+            continue
         if label_matches(f.labels, labels) and (kind == "node" or (directions & frozenset("RL") if f.directed else "U" in directions)):
             fits.append((i, f))
     stored: dict[str, tuple[str, list]] = {}
@@ -110,7 +117,7 @@ def scan(graph: GraphRef, kind: str, labels, wanted: set | None, directions: fro
         backward = "L" in directions if f.directed else True
         if forward:
             branches.append(branch(i, f, (SOURCE, TARGET), False))
-        if backward:
+        if backward and not (once and forward):
             branches.append(branch(i, f, (TARGET, SOURCE), forward))
     if not branches:
         schema = f"`{id_column}` bigint, `{number}` int" + (f", `{source}` bigint, `{target}` bigint" if kind == "edge" else "")

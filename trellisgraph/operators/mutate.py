@@ -1,7 +1,8 @@
 """INSERT, SET, REMOVE and DELETE: each replaces the statement's private snapshot of the graph.
 
-The working table is written first, so that ids and values stay fixed. Only fragments that hold affected elements are
-rewritten: one left join with the patch, or one anti join with the deleted ids.
+The working table is written first, so that ids and values stay fixed. Only fragments that hold affected elements change,
+and of them only the affected rows are written: a layer of ids that are gone and a layer of new rows. A fragment is written
+anew where its layout changes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidQuery
 from ..lang.nodes import Clause, EdgePattern, NodePattern
 from ..plans.binder import bind
-from ..plans.scope import Element, Table, check_new, fresh
+from ..plans.scope import Element, Table, check_new, fresh, live
 from ..sources.graph import ID, SOURCE, TARGET, Fragment, GraphData, spark_kind
 from .match import scan
 
@@ -58,8 +59,11 @@ def add_fragment(data: GraphData, new: Fragment) -> GraphData:
         def aligned(df: DataFrame, names: dict) -> DataFrame:
             return df.select(*fixed, *[(F.col(f"`{names[n.lower()]}`") if n.lower() in names else F.lit(None)).cast(spark_kind(t)).alias(n) for n, t in merged])
 
-        df = aligned(f.df, {n.lower(): n for n, _ in f.properties}).unionAll(aligned(new.df, own))
-        fragments[i] = Fragment(df, f.labels, f.directed, tuple(merged))
+        if tuple(merged) == f.properties:
+            fragments[i] = f.plus(aligned(new.df, own))
+        else:
+            df = aligned(f.df, {n.lower(): n for n, _ in f.properties}).unionAll(aligned(new.df, own))
+            fragments[i] = Fragment(df, f.labels, f.directed, tuple(merged))
         break
     else:
         fragments.append(new)
@@ -72,13 +76,19 @@ def insert(runner, clause: Clause, table: Table) -> Table:
     made: list[tuple[Element, str | None]] = []
     base = graph.data.fresh_id()
     rows = table.df
-    # One block of ids for each element: row numbers of the written table, spread over the elements.
+    # One block of ids for each element: numbers of the rows of the written table, without gaps.
     row = fresh("row")
-    rows = session.freeze(rows.withColumn(row, F.monotonically_increasing_id())) if rows.columns else rows.withColumn(row, F.monotonically_increasing_id())
+    rows = session.freeze(rows.withColumn(row, F.monotonically_increasing_id()) if rows.columns else rows.select(F.monotonically_increasing_id().alias(row)))
+    parts = {r[0]: r[1] for r in rows.groupBy(F.shiftright(row, 33)).count().collect()}  # one for each partition
+    n_rows, starts = 0, []
+    for i in range(max(parts, default=-1) + 1):
+        starts.append(n_rows)
+        n_rows += parts.get(i, 0)
+    before = F.element_at(F.split(F.lit(",".join(map(str, starts or [0]))), ",").cast("array<bigint>"), (F.shiftright(row, 33) + 1).cast("int"))
+    rows = rows.withColumn(row, before + F.col(row).bitwiseAND((1 << 33) - 1))
     table = Table(rows, table.scope)
     total = sum(isinstance(f, EdgePattern) or not (f.var and table.find(f.var)) for path in clause.items for f in path)
     serial = 0
-    n_rows = rows.count()
 
     def new_id() -> str:
         nonlocal table, serial
@@ -143,13 +153,15 @@ def insert(runner, clause: Clause, table: Table) -> Table:
             write("edge", column, f, [F.col(a).alias(SOURCE), F.col(b).alias(TARGET)], way != "U")
             if f.var:
                 table = table.bind(f.var, Element("edge", graph, column, ""))
-    top = table.df.agg(F.max(row)).first()[0]
-    graph.cell[0] = replace(graph.data, next_id=base + ((top or 0) + 1) * max(total, 1))
+    graph.cell[0] = replace(graph.data, next_id=base + n_rows * max(total, 1))
     return refresh(runner, Table(table.df.drop(row), table.scope))
 
 
-def refresh(runner, table: Table) -> Table:
-    """Read the bound elements of the changed graph again; other values stay as they were."""
+def refresh(runner, table: Table, only: dict | None = None) -> Table:
+    """Read the bound elements of the changed graph again; other values stay as they were.
+
+    ``only`` gives the numbers of the fragments that nodes and edges of the table can be in.
+    """
     rescanned: dict[str, Element] = {}
     df = table.df
     scope = {}
@@ -158,15 +170,26 @@ def refresh(runner, table: Table) -> Table:
             scope[key] = (display, b)
             continue
         if b.id not in rescanned:
-            rows, element, source, target = scan(runner.graph, b.kind, None, runner.wanted, frozenset("RU"), runner.session.spark)
-            if b.kind == "edge":
-                rows = rows.drop(source, target).dropDuplicates([element.id])
-            df = df.join(rows, F.col(b.id) == F.col(element.id), "left")
-            rescanned[b.id] = replace(element, conditional=True)
+            rows, element, source, target = scan(runner.graph, b.kind, None, runner.wanted, frozenset("RU"), runner.session.spark, once=True, only=only and only[b.kind])
+            rows = rows.drop(source, target) if b.kind == "edge" else rows
+            # The id that was bound stays: where it finds no row any more, reading is an error.
+            df = df.join(rows.withColumnRenamed(element.id, found := fresh("found")), F.col(b.id) == F.col(found), "left").drop(found)
+            rescanned[b.id] = replace(element, id=b.id, conditional=True, guarded=True)
         scope[key] = (display, rescanned[b.id])
     return Table(df, scope)
 
 
+def fragments_of(runner, table: Table) -> dict:
+    """Numbers of the fragments that hold the bound nodes and edges of a written table."""
+    bound = {b.id: b for _, b in table.scope.values() if isinstance(b, Element) and b.graph is runner.graph and b.fragment in table.df.columns}
+    out: dict[str, set] = {"node": set(), "edge": set()}
+    if bound:
+        found = table.df.agg(*[F.collect_set(b.fragment).alias(f"f{i}") for i, b in enumerate(bound.values())]).first()
+        for b, numbers in zip(bound.values(), found, strict=True):
+            out[b.kind] |= set(numbers)
+    return out
+
+
 def target(table: Table, name: str) -> Element:
     found = table.find(name)
     if not isinstance(found, Element):
@@ -192,14 +215,14 @@ def patch(runner, clause: Clause, table: Table) -> Table:
                 plan["values"][name] = bind(ast, table, runner.context)
         else:
             plan["add" if clause.kind == "set" else "drop"] |= set(item[2])
-    data = graph.data
+    data, held = graph.data, fragments_of(runner, table)
     for plan in plans.values():
         element = plan["element"]
         values = {n: v for n, v in plan["values"].items()}
-        columns = [F.col(element.id).alias("__patch_id"), F.col(element.fragment).alias("__patch_fragment")]
+        columns = [F.col(element.id).alias("__gone"), live(element, F.col(element.fragment)).alias("__patch_fragment")]
         columns += [(v.col if v is not None else F.lit(None).cast("string")).alias(f"__patch_{i}") for i, v in enumerate(values.values())]
         changes = session.freeze(table.df.select(*columns).where(F.col(element.id).isNotNull()).distinct())
-        counted = changes.groupBy("__patch_fragment", "__patch_id").count().groupBy("__patch_fragment").agg(F.count("*"), F.max("count")).collect()  # one row for each fragment
+        counted = changes.groupBy("__patch_fragment", "__gone").count().groupBy("__patch_fragment").agg(F.count("*"), F.max("count")).collect()  # one row for each fragment
         if any(most > 1 for _, _, most in counted):
             raise InvalidQuery("one element is given different values")
         counts = {number: n for number, n, _ in counted}
@@ -222,7 +245,9 @@ def patch(runner, clause: Clause, table: Table) -> Table:
                     raise InvalidQuery(f"property {name} is stored as another type on these labels")
             position = {n.lower(): i for i, n in enumerate(values)}
             fixed = [ID] + ([SOURCE, TARGET] if f.is_edge else [])
-            joined = f.df.join(changes.drop("__patch_fragment").withColumn("__hit", F.lit(True)), F.col(ID) == F.col("__patch_id"), "left" if stays else "inner")
+            # A change of the layout writes the fragment anew, any other only the rows it affects.
+            anew = stays and tuple(layout) != f.properties
+            joined = f.df.join(changes.drop("__patch_fragment").withColumn("__hit", F.lit(True)), F.col(ID) == F.col("__gone"), "left" if anew else "inner")
             out = []
             for name, t in layout:
                 before = F.col(f"`{old[name.lower()][0]}`") if name.lower() in old else F.lit(None)
@@ -235,77 +260,82 @@ def patch(runner, clause: Clause, table: Table) -> Table:
                     continue
                 out.append(F.when(F.col("__hit"), after.cast(spark_kind(t))).otherwise(before.cast(spark_kind(t))).alias(name))
             written = session.freeze(joined.select(*fixed, *out))
-            if plan["all"] or any(v is None or not v.literal or v.value is None for v in values.values()):
-                written, layout = without_empty(written, layout)
-            new = Fragment(written, labels, f.directed, tuple(layout))
+            loses = plan["all"] or any(v is None or not v.literal or v.value is None for v in values.values())
+            if stays and not anew:
+                whole = f.without(changes).plus(written)
+                kept = without_empty(whole.df, layout, values, plan["all"]) if loses else layout
+                fragments[number] = whole if kept == layout else Fragment(whole.df.drop(*[n for n, t in layout if (n, t) not in kept]), labels, f.directed, tuple(kept))
+                continue
+            kept = without_empty(written, layout, values, plan["all"] or not stays) if loses or not stays else layout
+            new = Fragment(written.drop(*[n for n, t in layout if (n, t) not in kept]), labels, f.directed, tuple(kept))
             if stays:
                 fragments[number] = new
             else:
-                rest = f.df.join(changes.select("__patch_id"), F.col(ID) == F.col("__patch_id"), "left_anti")
-                fragments[number] = replace(f, df=session.freeze(rest))
+                fragments[number] = f.without(changes)
                 moved.append(new)
         kind = "nodes" if element.kind == "node" else "edges"
         data = replace(data, **{kind: tuple(fragments)}, counts={})
         for new in moved:
             data = add_fragment(data, new)
+            held[element.kind] |= {i for i, f in enumerate(data.fragments(element.kind)) if f.labels == new.labels and f.directed == new.directed}
     graph.cell[0] = data
-    return refresh(runner, table)
+    return refresh(runner, table, held)
 
 
-def without_empty(df: DataFrame, layout: list) -> tuple[DataFrame, list]:
-    """Properties that hold only nulls are not stored."""
-    if not layout:
-        return df, layout
-    filled = df.agg(*[F.count(F.col(f"`{n}`")).alias(f"c{i}") for i, (n, _) in enumerate(layout)]).first()
-    kept = [p for i, p in enumerate(layout) if filled[i]]
-    return df.drop(*[n for n, _ in layout if n not in {k for k, _ in kept}]), kept
+def without_empty(df: DataFrame, layout: list, values: dict, everything: bool) -> list:
+    """The layout without those properties, of the changed ones or of all, that hold only nulls: they are not stored."""
+    named = {n.lower() for n in values}
+    asked = [p for p in layout if everything or p[0].lower() in named]
+    if not asked:
+        return layout
+    filled = df.agg(*[F.count(F.col(f"`{n}`")).alias(f"c{i}") for i, (n, _) in enumerate(asked)]).first()
+    empty = {p for i, p in enumerate(asked) if not filled[i]}
+    return [p for p in layout if p not in empty]
 
 
 def delete(runner, clause: Clause, table: Table) -> Table:
+    """Only fragments that hold deleted elements get a layer of ids that are gone; edge tables are read for lost edges."""
     graph, session = runner.graph, runner.session
-    ids: dict[str, list[DataFrame]] = {"node": [], "edge": []}
-    gone = []
+    gone: dict[str, list[DataFrame]] = {"node": [], "edge": []}
     for ast in clause.items:
         value = bind(ast, table, runner.context)
         if not isinstance(value.binding, Element):
             raise InvalidQuery("DELETE needs elements")
         element = value.binding
-        ids[element.kind].append(table.df.select(F.col(element.id).alias("__gone")).where("__gone is not null"))
-        gone.append(element.id)
-    data = graph.data
+        ids = table.df.select(F.col(element.id).alias("__gone"), live(element, F.col(element.fragment)).alias("__fragment"))
+        gone[element.kind].append(ids.where("__gone is not null"))
+    data, held = graph.data, fragments_of(runner, table)
+    nodes, edges = list(data.nodes), list(data.edges)
 
-    def combined(frames: list[DataFrame]) -> DataFrame | None:
+    def written(frames: list[DataFrame]) -> tuple[DataFrame | None, dict[int, int]]:
+        """One frame of the ids, and how many each fragment holds."""
         if not frames:
-            return None
+            return None, {}
         out = frames[0]
         for other in frames[1:]:
             out = out.unionAll(other)
-        return session.freeze(out.distinct())
-
-    nodes, edges = combined(ids["node"]), combined(ids["edge"])
-    new_edges = list(data.edges)
-    if edges is not None and not edges.isEmpty():
-        runner.affected += edges.count()
-        new_edges = [replace(f, df=session.freeze(f.df.join(edges, F.col(ID) == F.col("__gone"), "left_anti"))) for f in new_edges]
-    new_nodes = list(data.nodes)
-    if nodes is not None and not nodes.isEmpty():
-        runner.affected += nodes.count()
-        kept = []
-        for f in new_edges:
-            left = f.df.join(nodes, F.col(SOURCE) == F.col("__gone"), "left_anti").join(nodes, F.col(TARGET) == F.col("__gone"), "left_anti")
-            left = session.freeze(left)
-            lost = f.df.count() - left.count()
-            if lost and not clause.extra:
-                raise InvalidQuery("a deleted node still has edges")
-            runner.affected += lost
-            kept.append(replace(f, df=left) if lost else f)
-        new_edges = kept
-        new_nodes = [replace(f, df=session.freeze(f.df.join(nodes, F.col(ID) == F.col("__gone"), "left_anti"))) for f in new_nodes]
-    graph.cell[0] = replace(data, nodes=tuple(new_nodes), edges=tuple(new_edges), next_id=data.fresh_id(), counts={})
-    # Whatever still stands for a deleted element may not be read any more.
-    scope = {k: (d, replace(b, properties={}, fragment="\0deleted") if isinstance(b, Element) and b.id in gone else b) for k, (d, b) in table.scope.items()}
-    live = {k: v for k, v in scope.items() if not (isinstance(v[1], Element) and v[1].fragment == "\0deleted")}
-    refreshed = refresh(runner, Table(table.df, live))
-    runner.session.deleted = {d.lower() for d, b in scope.values() if isinstance(b, Element) and b.fragment == "\0deleted"}
-    return refreshed
+        out = session.freeze(out.distinct())
+        return out, {number: n for number, n in out.groupBy("__fragment").count().collect()}  # one row for each fragment
 
+    lost, touched = written(gone["edge"])
+    for number in touched:
+        edges[number] = edges[number].without(lost)
+    runner.affected += sum(touched.values())
+    dead, touched = written(gone["node"])
+    if touched:
+        runner.affected += sum(touched.values())
+        ends = []
+        for number, f in enumerate(edges):
+            for side in (SOURCE, TARGET):
+                hit = f.df.join(dead.select("__gone"), F.col(side) == F.col("__gone"), "left_semi")
+                ends.append(hit.select(F.col(ID).alias("__gone"), F.lit(number).alias("__fragment")))
+        hanging, per_fragment = written(ends)
+        if per_fragment and not clause.extra:
+            raise InvalidQuery("a deleted node still has edges")
+        for number, n in per_fragment.items():
+            edges[number] = edges[number].without(hanging)
+            runner.affected += n
+        for number in touched:
+            nodes[number] = nodes[number].without(dead)
+    graph.cell[0] = replace(data, nodes=tuple(nodes), edges=tuple(edges), next_id=data.fresh_id(), counts={})
+    return refresh(runner, table, held)

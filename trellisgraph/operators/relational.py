@@ -214,10 +214,8 @@ class Runner:
 
     def resolve(self, table: Table, name: str, column: str, kind: str, graph: GraphRef) -> Table:
         """Bind a name to the elements whose ids a column holds."""
-        rows, element, source, target = scan(graph, kind, None, self.wanted, frozenset("RU"), self.session.spark)
+        rows, element, source, target = scan(graph, kind, None, self.wanted, frozenset("RU"), self.session.spark, once=True)
         rows = rows.drop(source, target) if kind == "edge" else rows
-        if kind == "edge":
-            rows = rows.dropDuplicates([element.id])  # both ways of undirected edges
         df = table.df.join(rows, F.col(column) == F.col(element.id), "left")
         return Table(df, table.scope).bind(name, replace(element, conditional=True))
 

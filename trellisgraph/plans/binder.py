@@ -7,12 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import ExecutionError, InvalidQuery, UnsupportedFeature
+from ..errors import InvalidQuery, UnsupportedFeature
 from ..functions import scalar
 from ..functions.scalar import E, as_bool, family, literal, type_name
 from ..lang.nodes import walk
 from ..lang.parser import AGGREGATES
-from .scope import Element, PathValue, Scalar, Table, elements_of
+from .scope import Element, PathValue, Scalar, Table, elements_of, live
 
 
 @dataclass
@@ -78,17 +78,17 @@ def label_matches(labels, expr) -> bool:
 
 def labeled(element: Element, expr) -> Column:
     fits = [i for i, f in enumerate(element.graph.data.fragments(element.kind)) if label_matches(f.labels, expr)]
-    return F.when(F.col(element.id).isNotNull(), F.col(element.fragment).isin(fits) if fits else F.lit(False))
+    return live(element, F.when(F.col(element.id).isNotNull(), F.col(element.fragment).isin(fits) if fits else F.lit(False)))
 
 
 def property_of(element: Element, name: str) -> E:
     hit = element.properties.get(name.lower())
     if hit is None:
-        return E(F.lit(None), "null")
+        return E(live(element, F.lit(None)), "null")
     _, column, kind, variants = hit
     if variants:
-        return E(F.col(column), kind, variants=[E(F.col(c), t) for t, c in variants.items()])
-    return E(F.col(column), kind)
+        return E(live(element, F.col(column)), kind, variants=[E(live(element, F.col(c)), t) for t, c in variants.items()])
+    return E(live(element, F.col(column)), kind)
 
 
 def boolean(ast, table: Table, context: Context, what: str = "condition") -> Column:
@@ -128,8 +128,6 @@ class _Binder:
     def x_var(self, name) -> E:
         found = self.table.find(name)
         if found is None:
-            if name.lower() in self.context.session.deleted:
-                raise ExecutionError(f"{name} was deleted")
             raise InvalidQuery(f"unknown variable {name}")
         if self.context.grouped:
             raise InvalidQuery(f"{name}: expression is not grouped or aggregated")
@@ -155,7 +153,7 @@ class _Binder:
             raise InvalidQuery("PROPERTY_EXISTS needs an element")
         hit = value.binding.properties.get(name.lower())
         present = F.col(hit[1]).isNotNull() if hit else F.lit(False)
-        return E(F.when(value.col.isNotNull(), present), "bool")
+        return E(live(value.binding, F.when(value.col.isNotNull(), present)), "bool")
 
     def x_labeled(self, negated, x, expr) -> E:
         element = self.bind(x).binding

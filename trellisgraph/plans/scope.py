@@ -39,6 +39,8 @@ class Element:
     fragment: str
     properties: dict = field(default_factory=dict)  # folded name: (display, column, type, {family type: column} or None)
     conditional: bool = False
+    #: Looked up again after a change: rows whose element is gone have an id and no fragment.
+    guarded: bool = False
 
     def columns(self) -> list[str]:
         out = [self.id, self.fragment]
@@ -105,11 +107,19 @@ class Table:
         return Table(self.df.select(*dict.fromkeys(self.columns())), self.scope, self.unit and not self.scope)
 
 
+def live(element: Element, value: Column) -> Column:
+    """A value read from an element; of a deleted one it is an error, row by row."""
+    if not element.guarded:
+        return value
+    gone = F.col(element.id).isNotNull() & F.col(element.fragment).isNull()
+    return F.when(gone, F.raise_error(F.lit("a deleted element was read"))).otherwise(value)
+
+
 def ref_struct(element: Element) -> Column:
     value = F.struct(
         F.lit(element.graph.id).cast("bigint").alias("__gql_element_graph"), F.lit(element.kind[0]).alias("__gql_element_kind"), F.col(element.id).alias("__gql_element_id")
     )
-    return F.when(F.col(element.id).isNotNull(), value)
+    return live(element, F.when(F.col(element.id).isNotNull(), value))
 
 
 def output(binding) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +17,49 @@ _SPARK = {"bool": "boolean", "int": "bigint", "float": "double", "string": "stri
 
 @dataclass(frozen=True)
 class Fragment:
-    """Rows that share a label set and a layout. Columns: _id, for edges also _src and _dst, then properties."""
+    """Rows that share a label set and a layout. Columns: _id, for edges also _src and _dst, then properties.
+
+    ``df`` is what the layers make: each adds rows or takes the ids of its column ``__gone`` out of the layers before it. So a
+    change of few rows writes few rows, and what is there stays as it is. No layers: ``df`` is the only one.
+    """
 
     df: DataFrame
     labels: frozenset
     directed: bool | None = None  # None: nodes
     properties: tuple = ()  # (name, type)
+    layers: tuple = ()  # ("rows" or "gone", frame)
 
     @property
     def is_edge(self) -> bool:
         return self.directed is not None
 
+    def parts(self) -> tuple:
+        return self.layers or (("rows", self.df),)
+
+    def without(self, gone: DataFrame) -> Fragment:
+        """Without the ids in a written frame's column __gone."""
+        return replace(self, df=_without(self.df, gone), layers=(*self.parts(), ("gone", gone)))
+
+    def plus(self, rows: DataFrame) -> Fragment:
+        """With more rows of the same layout."""
+        return replace(self, df=self.df.unionAll(rows), layers=(*self.parts(), ("rows", rows)))
+
+    def sealed(self, df: DataFrame) -> Fragment:
+        """With other rows, as one layer."""
+        return replace(self, df=df, layers=())
+
+
+def _without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    return df.join(gone.select("__gone"), F.col(ID) == F.col("__gone"), "left_anti")
+
+
+def folded(layers) -> DataFrame:
+    """The rows that layers make."""
+    df = None
+    for kind, frame in layers:
+        df = frame if df is None else df.unionAll(frame) if kind == "rows" else _without(df, frame)
+    return df
+
 
 def fragment(df: DataFrame, labels, directed: bool | None = None) -> Fragment:
     """Check a table's layout; integers of other widths are widened, other types refused."""

@@ -32,7 +32,8 @@ def graph_of(spark: SparkSession, sf_dir: str) -> GraphData:
     region, nation, customer, supplier, part, orders = (read(t) for t in ("region", "nation", "customer", "supplier", "part", "orders"))
     lineitem, events, turns = read("lineitem"), read("events"), read("conversations")
     line = lineitem.select("*", _row_id(100).alias("_contains"), _row_id(4_000_000).alias("_supplied"))
-    turn_id = _key(7, F.col("conv_id") * 1000 + F.col("turn"))
+    # Turns have a range of their own, with 2^20 numbers for each conversation.
+    turn_id = F.lit(BLOCK * 1_000_000) + F.col("conv_id") * (1 << 20) + F.col("turn")
     nodes = [
         fragment(region.select(_key(1, "r_regionkey").alias("_id"), "r_regionkey", "r_name", F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("key")), ["Region"]),
         fragment(nation.select(_key(2, "n_nationkey").alias("_id"), "n_nationkey", "n_name"), ["Nation"]),
@@ -52,7 +53,7 @@ def graph_of(spark: SparkSession, sf_dir: str) -> GraphData:
         fragment(orders.select(_key(14, "o_orderkey").alias("_id"), _key(3, "o_custkey").alias("_src"), _key(6, "o_orderkey").alias("_dst")), ["PLACED"], True),
         fragment(line.select(F.col("_contains").alias("_id"), _key(6, "l_orderkey").alias("_src"), _key(5, "l_partkey").alias("_dst"), "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"), ["CONTAINS"], True),
         fragment(line.select(F.col("_supplied").alias("_id"), _key(5, "l_partkey").alias("_src"), _key(4, "l_suppkey").alias("_dst"), "l_quantity"), ["SUPPLIED_BY"], True),
-        fragment(turns.where("turn > 0").select((turn_id + 10 * BLOCK).alias("_id"), (turn_id - 1).alias("_src"), turn_id.alias("_dst")), ["NEXT"], True),
+        fragment(turns.where("turn > 0").select(turn_id.alias("_id"), (turn_id - 1).alias("_src"), turn_id.alias("_dst")), ["NEXT"], True),
         fragment(events.select("event_id", after.alias("after")).where("after is not null").select(_key(18, "event_id").alias("_id"), _key(8, "event_id").alias("_src"), _key(8, "after").alias("_dst")), ["NEXT_EVENT"], True),
         fragment(twins.select((F.col("a.n_nationkey") * 100 + F.col("b.n_nationkey") + 19 * BLOCK).alias("_id"), _key(2, "a.n_nationkey").alias("_src"), _key(2, "b.n_nationkey").alias("_dst")), ["NEIGHBOR"], False),
     ]
