@@ -178,6 +178,18 @@ def test_selected_groups_match_enumeration(cyclic, selector, keep):
     assert found == sorted((n, e) for n, e in every if keep(sorted(lengths[n[0], n[-1]]).index(len(e))))
 
 
+def test_conditions_come_before_long_paths(cyclic, monkeypatch):
+    """A condition on the start of an unbounded path is applied before its levels are written."""
+    from trellisgraph.operators import match as module
+
+    seen, flush = [], module.Matcher.flush
+    monkeypatch.setattr(module.Matcher, "flush", lambda self, table, last=False: (seen.append((len(self.waiting), last)), flush(self, table, last))[1])
+    got = rows(cyclic, "MATCH p = TRAIL (a)-[e]->*(b) WHERE ELEMENT_ID(a) <> ELEMENT_ID(b) AND ELEMENT_ID(a) = 'g3:n:0' RETURN p")
+    wanted = [x for x in [((n,), ()) for n in NODES] + list(paths("R", "TRAIL", True, 6)) if x[0][0] == 0 and x[0][-1] != 0]
+    assert sorted((tuple(p["__gql_path_nodes"]), tuple(p["__gql_path_edges"])) for (p,) in got) == sorted(wanted)
+    assert [n for n, last in seen if not last][:2] == [2, 1]
+
+
 def test_group_equals_quantified_edge(cyclic):
     a = rows(cyclic, "MATCH p = (a)-[e]->{1,3}(b) RETURN p")
     b = rows(cyclic, "MATCH p = (a)((x)-[e]->(y)){1,3}(b) RETURN p")

@@ -131,6 +131,13 @@ def scan(
     return rows, element, source, target
 
 
+def conjuncts(ast) -> list:
+    """The conditions that AND joins."""
+    if isinstance(ast, tuple) and ast[:2] == ("bin", "AND"):
+        return conjuncts(ast[2]) + conjuncts(ast[3])
+    return [ast]
+
+
 class Matcher:
     """Compiles one MATCH clause over a table."""
 
@@ -155,10 +162,17 @@ class Matcher:
         if len(match.patterns) > 1 and selective and self.different:
             raise UnsupportedFeature("selective paths beside others under DIFFERENT EDGES")
         used: list = []
+        # Each condition of a WHERE that is joined by AND is applied as soon as its names are bound, so before long paths are
+        # walked. Selectors choose before it applies.
+        late = match.where is not None and bool(selective)
+        if match.where is not None and not late:
+            self.waiting += conjuncts(match.where)
         for pattern in match.patterns:
             by_row = pattern.selector != ("all",) or _has(pattern.path, (Alternatives,))
             if by_row and not table.unit:
+                aside, self.waiting = self.waiting, []
                 table, edges = self.by_key(table, [pattern], lambda t, p=pattern: self.pattern(t, p))
+                self.waiting += aside
             else:
                 table, edges = self.pattern(table, pattern)
             if self.different:
@@ -167,7 +181,7 @@ class Matcher:
                         table = table.where(apart(a, b, self.sources))
             used += edges
         table = self.flush(table, last=True)
-        if match.where is not None:
+        if late:
             table = table.where(boolean(match.where, table, self.context, "WHERE"))
         return table
 
@@ -208,7 +222,7 @@ class Matcher:
         if pattern.var:
             check_new(table, pattern.var)
         before = set(table.scope)
-        table, state = self.path(table, State(), pattern.path, pattern.mode or "walk")
+        table, state = self.path(table, State(), pattern.path, pattern.mode or "walk", outermost=True)
         table, state = self.close(table, state)
         table = self.flush(table)
         if pattern.mode and pattern.mode != "walk":
@@ -280,7 +294,7 @@ class Matcher:
 
     # Paths
 
-    def path(self, table: Table, state: State, path, mode: str):
+    def path(self, table: Table, state: State, path, mode: str, outermost: bool = False):
         if isinstance(path, Alternatives):
             return self.alternatives(table, state, path, mode)
         for factor in path:
@@ -290,6 +304,8 @@ class Matcher:
                 table, state = self.edge(table, state, factor, mode)
             else:
                 table, state = self.group(table, state, factor, mode)
+            if outermost:
+                table = self.flush(table)
         return table, state
 
     def node(self, table: Table, state: State, node: NodePattern):
