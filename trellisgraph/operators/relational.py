@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidQuery, UnsupportedFeature
-from ..functions.aggregates import aggregate
+from ..functions.aggregates import aggregate, apart, beside
 from ..functions.scalar import E, common_type, family, spark_type, type_name, widened
 from ..lang.nodes import Clause, Composite, Linear, Match, OptionalBlock, Page, Query, Result, walk
 from ..lang.parser import AGGREGATES
@@ -365,7 +365,7 @@ class Runner:
             prepared = prepared.withColumn(column, value.col.cast("string") if value.type == "null" else value.col)
             by.append(column)
             known[folded(ast)] = E(F.col(column), value.type, binding=value.binding)
-        outputs = []
+        outputs, sides = [], []
         for key, (_, name, distinct, args) in calls.items():
             column, fraction, arg, argument = fresh("aggregate"), None, None, ""
             if args[0] != ("star",):
@@ -377,7 +377,10 @@ class Runner:
                 arg = replace(arg, col=F.col(argument), variants=None)
                 if len(args) > 1:
                     fraction = bind(args[1], table, self.context)
-            made = aggregate(name, distinct, arg, fraction, argument)
+            if apart(name, distinct, arg):
+                sides.append((name, distinct, arg, fraction, argument, column, key))
+                continue
+            made = aggregate(name, distinct, arg)
             outputs.append(made.col.alias(column))
             binding = None
             if isinstance(made.type, tuple) and made.type[0] == "list" and isinstance(arg.binding, Element):
@@ -388,6 +391,16 @@ class Runner:
             df = prepared.groupBy(*dict.fromkeys(by)).agg(*outputs) if outputs else prepared.select(*dict.fromkeys(by)).distinct()
         else:
             df = prepared.agg(*outputs) if outputs else prepared.agg(F.count(F.lit(1)).alias(fresh("n")))
+        for name, distinct, arg, fraction, argument, column, key in sides:
+            if arg.variants:
+                raise InvalidQuery(f"{name} cannot combine stored types")
+            keys_of_side = list(dict.fromkeys(by))
+            side, made = beside(name, distinct, arg, fraction, prepared, keys_of_side, argument, column, self.session.freeze)
+            on, renamed = F.lit(True), {b: fresh("key") for b in keys_of_side}
+            for b, r in renamed.items():
+                on = on & F.col(b).eqNullSafe(F.col(r))
+            df = df.join(side.withColumnsRenamed(renamed), on, "left").drop(*renamed.values())
+            known[key] = E(F.col(column), made.type)
         after = Context(self.session, known, grouped=True)
         scope_in = {n: v for n, v in table.scope.items()}
         current = Table(df, scope_in)
