@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from trellisgraph import workload
+from trellisgraph import scenarios, workload
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -24,10 +24,13 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(workload.queries()))
+QUERIES, SQL = workload.queries() | scenarios.queries(), workload.oracle_sql() | scenarios.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, small, oracle, name):
-    df = workload.queries()[name](spark, small)
-    wanted = oracle.sql(workload.oracle_sql()[name])
+    df = QUERIES[name](spark, small)
+    wanted = oracle.sql(SQL[name])
     assert sorted(df.columns) == sorted(wanted.columns)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)

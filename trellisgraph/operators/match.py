@@ -23,7 +23,6 @@ from ..plans.binder import Context, bind, boolean, label_matches, labeled, names
 from ..plans.scope import Element, GraphRef, PathValue, Scalar, Table, check_new, fresh, typed_null
 from ..sources.graph import ID, SOURCE, TARGET, spark_kind, unified
 
-MAX_HOPS = 256
 #: Levels of a quantified path that are planned lazily; longer ones are written level by level until none is reached.
 LAZY_LEVELS = 8
 _IDS = "array<bigint>"
@@ -273,8 +272,9 @@ class Matcher:
             q = x.quantifier
             if q and q.high is not None and not q.questioned and (q.high == 0 or q.low > q.high):
                 raise InvalidQuery("the bounds of a quantifier are empty")
-            if q and max(q.low, q.high or 0) > MAX_HOPS:
-                raise InvalidQuery(f"a quantifier exceeds {MAX_HOPS} hops")
+            most = self.context.session.limits.max_path_hops
+            if q and max(q.low, q.high or 0) > most:
+                raise InvalidQuery(f"a quantifier exceeds {most} hops")
             if isinstance(x, Group):
                 if x.has_search:
                     raise UnsupportedFeature("a search prefix within a path")
@@ -286,10 +286,8 @@ class Matcher:
     def limit(self, q: Quantifier, mode: str) -> int:
         if q.high is not None:
             return q.high
-        if self.different or mode == "trail":
-            return self.graph.data.count("edge")
-        if mode in ("acyclic", "simple"):
-            return self.graph.data.count("node")
+        if self.different or mode != "walk":
+            return self.context.session.limits.max_path_hops + 1  # finite, and it stops where nothing is reached
         raise UnsupportedFeature("an unbounded repeatable WALK")
 
     # Paths
@@ -443,14 +441,14 @@ class Matcher:
 
     def levels(self, first: DataFrame, step, low: int, high: int, unbounded: bool) -> DataFrame:
         """Union of the levels low to high. Deep or unbounded ones are written and stop when nothing is reached."""
-        level, out = first, [first] if low == 0 else []
+        level, out, most = first, [first] if low == 0 else [], self.context.session.limits.max_path_hops
         for depth in range(1, high + 1):
             level = step(level)
             if depth > LAZY_LEVELS or unbounded:
-                if depth > MAX_HOPS:
+                if depth > most:
                     if level.isEmpty():
                         break
-                    raise UnsupportedFeature(f"a path of more than {MAX_HOPS} hops")
+                    raise UnsupportedFeature(f"a path of more than {most} hops")
                 level = self.context.session.freeze(level)
                 if level.isEmpty():
                     break
