@@ -43,9 +43,9 @@ FREQUENT = 1 << 17
 #: Words that a task counts before it hands the counts on.
 TASK_WORDS = 400_000
 FOLDS, HELD = 5, 1
-DIMENSIONS, NOISE, RATE = 16, 12, 0.15
+DIMENSIONS, NOISE, RATE = 15, 12, 0.15
 #: Tokens of a mini-batch at most, and mini-batches that a block of tokens is dealt into at least.
-BATCH, LEAST_STEPS, LEAST_BATCH = 4096, 64, 64
+BATCH, LEAST_STEPS, LEAST_BATCH = 8192, 64, 64
 #: Tokens whose scores are in memory at once.
 CHUNK = 1 << 16
 #: The end token's key in the table of counts; no word is empty.
@@ -103,7 +103,7 @@ class LogBilinear:
         return self
 
     def _step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, squares: dict[str, np.ndarray]) -> None:
-        order = np.argsort(target // GROUP, kind="stable")
+        order = np.argsort((target // GROUP).astype(np.uint16), kind="stable")  # a radix sort
         one, two, target = one[order], two[order], target[order]
         group, place = target // GROUP, target % GROUP
         n = len(target)
@@ -120,16 +120,13 @@ class LogBilinear:
         def errors(vectors: np.ndarray, noise: np.ndarray, rows: slice, chosen: np.ndarray) -> np.ndarray:
             """Gradient of the scores: what the noise expects, less the data."""
             weight = NOISE * noise
-            score = predicted[rows] @ vectors.T
-            np.clip(score, -40, 40, out=score)
-            np.negative(score, out=score)
+            score = predicted[rows] @ -vectors.T
             np.exp(score, out=score)
             score *= weight
             score += 1
             np.divide(weight, score, out=score)  # weight x chance that it is data
             at = np.arange(len(chosen))
-            chance = score[at, chosen] / np.maximum(weight[chosen], 1e-30)
-            score[at, chosen] += chance - 1
+            score[at, chosen] -= 1 - score[at, chosen] / weight[chosen]
             return score
 
         d = errors(self.groups, self.group_noise, slice(None), group)
@@ -143,7 +140,7 @@ class LogBilinear:
             move("symbols", g, d.T @ predicted[a:b] / n)
         back /= n
         steps = (before.T @ back, last.T @ back)
-        where = np.concatenate([one, two])
+        where = np.concatenate([one, two]).astype(np.uint16)
         both = np.concatenate([back @ self.first.T, back @ self.second.T])
         order = np.argsort(where, kind="stable")
         where, both = where[order], both[order]
@@ -183,7 +180,7 @@ class LogBilinear:
 
         for at in range(0, len(target), CHUNK):
             part = slice(at, at + CHUNK)
-            order = np.argsort(target[part] // GROUP, kind="stable")
+            order = np.argsort((target[part] // GROUP).astype(np.uint16), kind="stable")
             goal = target[part][order]
             group, place = goal // GROUP, goal % GROUP
             predicted = np.ones((len(goal), DIMENSIONS + 1), np.float32)
