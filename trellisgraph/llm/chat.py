@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 START, END, REPLY = "<|im_start|>", "<|im_end|>", "assistant"
 #: Characters of examples in one output batch.
 BATCH_CHARS = 4 << 20
@@ -95,6 +97,7 @@ def expand(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
         return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
 
     rows = conversations.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
+    bounded_batches(conversations.sparkSession)
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,11 @@ from pyspark.sql.types import StructType
 
 #: Texts are handed to the numeric kernels in blocks of about this many UTF-8 bytes.
 BLOCK_BYTES = 4 << 20
+#: Rows of one Arrow batch, where the session has Spark's own 10,000: texts are long, and a batch is held whole.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Keys up to this number are broadcast to pick rows out of texts (16 MB); more are joined as Spark sees fit.
+LISTED = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +76,17 @@ def at_most(df: DataFrame, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(*df.columns), *[F.hash(c) for c in df.columns[:1]]).limit(rows)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session says otherwise."""
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
+def picked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in a written frame of distinct keys; texts are not shuffled while the keys are few."""
+    return df.join(keys.hint("broadcast") if keys.count() <= LISTED else keys, key, "left_semi")
+
+
 def wrapped(docs: DataFrame, *beside: str) -> DataFrame:
     """The rows as one struct ``doc``, so that no name within clashes with an operator's, and the columns named beside it.
 
@@ -89,6 +105,7 @@ def per_text(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(b"")) if binary else F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     kept = df.select(*[F.col(f"`{c}`") for c in keep], text.alias("__text"))
     out_schema = StructType([*kept.schema.fields[:-1], *StructType.fromDDL(schema).fields])
@@ -101,7 +118,7 @@ def per_text(
                 new = apply(block.column(len(keep)).to_pylist())
                 columns = [block.column(i) for i in range(len(keep))] + [new[f.name] for f in list(arrow_schema)[len(keep):]]
                 yield pa.RecordBatch.from_arrays(
-                    [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow_schema, strict=True)],
+                    [pa.array(c, f.type) if not isinstance(c, pa.Array) else c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow_schema, strict=True)],
                     schema=arrow_schema,
                 )
 

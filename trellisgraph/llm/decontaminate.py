@@ -212,7 +212,7 @@ def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """
     kept = wrapped(docs).select("doc", F.col(f"doc.`{text_col}`").alias("text"))
     for sketches in _blocks(docs, items, threshold, item_col, item_text_col, folded_words_of):
-        kept = _with_leaks(kept, ["doc", "text"], "text", sketches).where(F.size("__leaks") == 0).select("doc", "text")
+        kept = _with_leaks(kept, ["doc"], "text", sketches).where(F.size("__leaks") == 0).select("doc", F.col(f"doc.`{text_col}`").alias("text"))
     return kept.select("doc.*")
 
 

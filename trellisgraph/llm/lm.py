@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, materialize
+from .common import blocks, bounded_batches, fold, materialize
 
 OWN, SHARED, GROUP = 8192, 512, 128
 FREQUENT = 1 << 17
@@ -195,6 +195,7 @@ class LogBilinear:
 
 def _mapped(df: DataFrame, run, ddl: str) -> DataFrame:
     """mapInArrow over blocks of a batch."""
+    bounded_batches(df.sparkSession)
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(block for batch in batches for block in blocks(batch))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_text, release, wrapped
+from .common import materialize, per_text, picked, release, wrapped
 
 TAU = 3
 #: Members of one search key that one task compares; more are dealt out as pairs of chunks.
@@ -224,4 +224,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     labelled = least.join(roots, least.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
     chosen = materialize(labelled.groupBy("root").agg(F.min("least").alias("least")).select("least.row"), "simhash-kept")
     release(least)
-    return rows.join(chosen, "row", "left_semi").select("doc.*")
+    return picked(rows, chosen, "row").select("doc.*")

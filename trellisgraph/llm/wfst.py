@@ -10,9 +10,9 @@ Transducers are compiled from a model file:
   two pieces in rank order gives exactly these two pieces, else infinity. A sequence whose neighbours all satisfy this is the
   one that greedy merging produces, so the only path of finite weight is the library's encoding.
 
-A text is composed with them, state by state: a state of the composition is a position, the trie's root, and the last piece.
-Positions only grow, so taking the states in their order and keeping the least sum of weights for each (the tropical
-semiring: minimum, plus) gives the shortest path, which is the encoding.
+A text is composed with them lazily: a state of the composition is a position, the trie's root, and the last symbol. The
+encoding is the shortest path in the tropical semiring (minimum, plus). With weights, states are settled in the order of
+their positions, each with its least sum; where all finite arcs weigh 0, best-first search settles any open state next.
 
 User-defined symbols are read as they stand and merge with nothing. No piece has U+2581 after another character, so the
 composition falls apart into words, whose paths are remembered up to a bound. Texts are encoded whole.
@@ -35,7 +35,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words and pairs of pieces that a task remembers.
-WORD_CACHE, PAIR_CACHE, LONGEST_CACHED = 300_000, 1_000_000, 64
+WORD_CACHE, PAIR_CACHE, LONGEST_CACHED = 200_000, 400_000, 64
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -261,36 +261,52 @@ class Transducer:
         return found
 
     def shortest(self, text: str) -> list[tuple[int, int]]:
-        """(end, piece) on the shortest path of normalised text through the composition; of equal ones the first found."""
-        n, neighbours, weights = len(text), self.neighbours, self.weights
-        # For each position: state of the last transducer -> (weight, position and state before, piece).
-        columns: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
-        columns[0][-1] = (0.0, 0, -1, -1)
-        known = neighbours.known.get if neighbours else None
+        """(end, piece) on the shortest path of normalised text through the composition."""
+        return self._zero_path(text) if self.neighbours else self._least_path(text)
+
+    def _zero_path(self, text: str) -> list[tuple[int, int]]:
+        """Best-first search where all finite arcs weigh 0: all open states weigh the same, so the last one reached, by the
+        longest arc, is settled first; each state (position, last symbol) is settled once."""
+        n, known = len(text), self.neighbours.known.get
+        path: list[tuple[int, int]] = []
+        states, opened, settled = [-1], [self.arcs(text, 0)] if n else [], set()
+        while opened:
+            last, arcs = states[-1] << 32, opened[-1]
+            while arcs:
+                end, piece = arcs.pop()
+                state = piece if piece >= 0 else -2 - ord(text[end - 1])
+                finite = known(last ^ state)
+                if finite is None:
+                    finite = self.neighbours.finite(states[-1], state)
+                if finite and (end, state) not in settled:
+                    path.append((end, piece))
+                    if end == n:
+                        return path
+                    settled.add((end, state))
+                    states.append(state)
+                    opened.append(self.arcs(text, end))
+                    break
+            else:
+                opened.pop()
+                states.pop()
+                if path:
+                    path.pop()
+        return path
+
+    def _least_path(self, text: str) -> list[tuple[int, int]]:
+        """Arcs with weights, one state at each position: least sums in the order of positions; of equal ones the first found."""
+        n, weights = len(text), self.weights
+        best = [0.0] + [float("inf")] * n
+        before: list[tuple[int, int]] = [(-1, -1)] * (n + 1)
         for at in range(n):
-            column = columns[at]
-            if not column:
-                continue
             for end, piece in self.arcs(text, at):
-                weight, state, target = weights[piece] if piece >= 0 else 0.0 if neighbours else 10.0 - self.lowest, -1, columns[end]
-                if neighbours:
-                    state = piece if piece >= 0 else -2 - ord(text[at])
-                for last, (before, *_) in column.items():
-                    if neighbours:
-                        finite = known(last << 32 ^ state)
-                        if finite is None:
-                            finite = neighbours.finite(last, state)
-                        if not finite:
-                            continue
-                    total = before + weight
-                    if state not in target or total < target[state][0]:
-                        target[state] = (total, at, last, piece)
-        path = []
-        at, state = n, min(columns[n], key=lambda s: columns[n][s][0], default=-1)
+                total = best[at] + (weights[piece] if piece >= 0 else 10.0 - self.lowest)
+                if total < best[end]:
+                    best[end], before[end] = total, (at, piece)
+        path, at = [], n
         while at:
-            _, before, last, piece = columns[at][state]
-            path.append((at, piece))
-            at, state = before, last
+            path.append((at, before[at][1]))
+            at = before[at][0]
         return path[::-1]
 
     def path(self, text: str) -> list[int]:
