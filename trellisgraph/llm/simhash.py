@@ -192,7 +192,9 @@ def components(edges: DataFrame) -> DataFrame:
         current = following
         state = current.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.shiftright(F.xxhash64("b", "a"), 40))).first()
         if state == before:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._shared_path = current._shared_path
+            return out
         before = state
 
 
