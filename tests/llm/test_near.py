@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trellisgraph.llm import near
+from trellisgraph.llm import near, simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -71,3 +71,65 @@ def test_one_id_on_different_texts(spark):
     rows = [(1, one), (2, one), (2, two), (3, three), (3, one), (4, two), (2, two)]
     kept = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, one), (2, two), (3, three)])
+
+
+def test_pigeonring_finds_all_pairs_within_its_budget(spark):
+    """Components of fingerprints by the stage's wider ring, against all pairs; many links in a key and few."""
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 63, 300, np.uint64).tolist()
+    for i, bits in enumerate([*range(1, 12)] * 12):
+        fps.append(fps[i] ^ sum(1 << int(b) for b in rng.choice(64, bits, replace=False)))
+    fps += [fps[0] ^ 1 << a ^ 1 << b for a in range(12) for b in range(a)]
+    fps = np.unique(np.array(fps, np.uint64))
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, fp in enumerate(fps):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fp) <= 7).tolist():
+            root[find(i)] = find(j)
+    frame = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long").repartition(3)
+    for tile in (simhash.TILE, 50):
+        roots = {r.node: r.root for r in simhash.components(simhash.links(frame, tile, near.RING)).collect()}
+        named = [roots.get(int(v), int(v)) for v in fps.view(np.int64)]
+        assert len(set(named)) == len(set(map(find, range(len(fps)))))
+        assert len({(n, find(i)) for i, n in enumerate(named)}) == len(set(named))
+
+
+def test_stage_searches_by_simhash(spark, monkeypatch):
+    """Without the bands, the stage's SimHash search alone links every similar pair within its bits, and no other pair."""
+    monkeypatch.setattr(near, "ROUNDS", ())
+    rng = np.random.default_rng(6)
+    rows = []
+    for group in range(25):
+        base = [f"g{group}w{i}" for i in range(200)]
+        for _ in range(6):
+            words = list(base)
+            for at in rng.integers(0, 200, int(rng.integers(0, 9))):
+                words[at] = f"x{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [near.shingles_of(t.encode(), near._WordHashes()) for _, t in rows]
+    fps, root, far = near.fingerprints(sets), list(range(len(rows))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                if np.bitwise_count(fps[i] ^ fps[j]) <= 7:
+                    root[find(i)] = find(j)
+                else:
+                    far += 1
+    least = {}
+    for i in range(len(rows)):
+        least.setdefault(find(i), i)
+    got = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(least.values())
+    assert far and len(least) < len(rows)

@@ -4,10 +4,13 @@ Shingles: A-Z lower-cased, words are runs of non-white-space (ASCII), ``WIDTH``
 shingle, texts without words, null texts included, have none and are alike. A shingle is known by a 64-bit hash. Two texts
 link if |A and B| / |A or B| >= ``SIMILAR``, counted on their whole sets; groups are the components of these links.
 
-Search: texts with the same set collapse first. Every other set has ``BANDS`` keys of ``ROWS`` MinHash values each; sets that
-share a key are compared. A pair of similarity s shares none with probability (1 - s^4)^32: 5e-8 at 0.8, less above it.
-Keys with the same members are compared once, and bands are taken in rounds: later ones compare only sets that are not in one
-group yet. Only texts that share a key have their sets sent along.
+Search: texts with the same set collapse first. The others are searched by SimHash with pigeonring filtering: a fingerprint
+bit is set if more than half of the shingles' hashes set it, and by ``RING`` all pairs within ``RING.tau`` bits are found, as
+``simhash`` does; its groups are compared by exact similarity. No budget of bits that keys can search holds every link:
+sets at 0.8 differ by some 10 of 64 bits, up to 16 were measured. So links beyond the budget are searched after it. Every set
+has ``BANDS`` keys of ``ROWS`` MinHash values each; sets that share a key are compared. A pair of similarity s shares none with
+probability (1 - s^4)^32: 5e-8 at 0.8, less above it. Keys with the same members are compared once, and bands are taken in
+rounds: each compares only sets that are not in one group yet. Only texts that share a key have their sets sent along.
 
 Scale: the members of a key leave a spanning forest, never all pairs. Keys with more than ``TILE`` members are compared
 tile by tile in many tasks, which loses no link.
@@ -16,6 +19,7 @@ tile by tile in many tasks, which loses no link.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import LISTED, materialize, per_text, picked, release, wrapped
 from .decontaminate import _mix, _shingle_hashes, _WordHashes
-from .simhash import components
+from .simhash import Ring, components, links, majority
 
 WIDTH = 5
 #: Least similarity, as a fraction: no rounding.
 SIMILAR = (4, 5)
+#: Bits that fingerprints may differ in, and the segments that find them.
+RING = Ring(tau=7, segments=8, sparse=True)
 BANDS, ROWS = 32, 4
 #: Bands that are looked up together, first and last.
 ROUNDS = ((0, 1), (1, BANDS))
@@ -63,25 +69,34 @@ def _set_key(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), 5)
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set of shingles."""
+    return np.array([majority(s) for s in sets], np.uint64)
+
+
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, id, text and a number for every row, with the key of its set of shingles and its bands."""
+    """doc, id, text and a number for every row, with the key of its set of shingles, its fingerprint and its bands."""
 
     def make():
         hashes = _WordHashes()
 
         def apply(texts):
             sets = [shingles_of(t, hashes) for t in texts]
-            return {"set": np.array([_set_key(s) for s in sets], np.uint64).view(np.int64), "bands": [band_keys(s) for s in sets]}
+            return {"set": np.array([_set_key(s) for s in sets], np.uint64).view(np.int64), "fp": fingerprints(sets).view(np.int64), "bands": [band_keys(s) for s in sets]}
 
         return apply
 
     rows = wrapped(docs).select("doc", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
-    return per_text(rows, "set bigint, bands array<bigint>", make, ["doc", "id", "row"], "text")
+    return per_text(rows, "set bigint, fp bigint, bands array<bigint>", make, ["doc", "id", "row"], "text")
 
 
-def _forest(keys: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links that span the sets of one bucket, beside what the groups already are: each new group by the set that reached it."""
+def _forest(keys: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], tau: int | None = None) -> Iterator[tuple[int, int]]:
+    """Links that span the sets of one bucket, beside what the groups already are: each new group by the set that reached it.
+
+    With ``tau``, links whose fingerprints differ in more bits are left to other searches.
+    """
     over, under = SIMILAR
+    fps = None if tau is None else fingerprints(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     left = np.arange(len(sets))
     while len(left):
@@ -90,6 +105,8 @@ def _forest(keys: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> Ite
         while frontier and len(left):
             one = frontier.pop()
             near = left[(sizes[left] * under >= sizes[one] * over) & (sizes[one] * under >= sizes[left] * over)]
+            if fps is not None:
+                near = near[np.bitwise_count(fps[near] ^ fps[one]) <= tau]
             if not len(near):
                 continue
             flat, mine = np.concatenate([sets[i] for i in near]), sets[one]
@@ -105,13 +122,13 @@ def _forest(keys: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> Ite
                 left = left[~reached]
 
 
-def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_buckets(batches: Iterator[pa.RecordBatch], tau: int | None = None) -> Iterator[pa.RecordBatch]:
     """Sorted (key, set, group, shingles) batches into links."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     bucket, keys, groups, sets = None, [], [], []
 
-    def links() -> list[pa.RecordBatch]:
-        found = list(_forest(np.array(keys, np.int64), np.array(groups, np.int64), sets)) if len(set(groups)) > 1 else []
+    def linked() -> list[pa.RecordBatch]:
+        found = list(_forest(np.array(keys, np.int64), np.array(groups, np.int64), sets, tau)) if len(set(groups)) > 1 else []
         return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)] if found else []
 
     for batch in batches:
@@ -119,24 +136,28 @@ def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         flat, offsets = values.values.to_numpy(zero_copy_only=False).view(np.uint64), values.offsets.to_numpy()
         for i, (key, member, group) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
             if key != bucket:
-                yield from links()
+                yield from linked()
                 bucket, keys, groups, sets = key, [], [], []
             keys.append(member)
             groups.append(group)
             sets.append(flat[offsets[i] : offsets[i + 1]].copy())
-    yield from links()
+    yield from linked()
 
 
 def _roots(marked: DataFrame, least: DataFrame, text_col: str, tile: int = TILE) -> DataFrame | None:
     """(node, root): the groups of linked sets, as a written table. ``least.row`` is the row that stands for a set.
 
-    Bands are taken in ``ROUNDS``. A key whose members are one group by then is not looked at any more, so sets of large groups
+    The groups of fingerprints are taken first, then bands in ``ROUNDS``. A key whose members are one group by then is not looked at any more, so sets of large groups
     are compared twice at most, not once for each band. No link is lost: sets of two groups that share a key meet.
     """
-    banded = materialize(marked.groupBy("set").agg(F.first("bands").alias("bands")), "near-bands")
+    banded = materialize(marked.groupBy("set").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-bands")
+    some = banded.where(F.size("bands") > 0)
+    found = links(some.select("fp").distinct(), tile, RING)
+    alike = components(found)
+    by_print = some.join(alike, F.col("fp") == F.col("node"), "left").select("set", F.coalesce("root", "fp").alias("key"))
+    by_band = [banded.select("set", F.explode(F.slice("bands", first + 1, last - first)).alias("key")) for first, last in ROUNDS]
     roots = None
-    for first, last in ROUNDS:
-        filed = banded.select("set", F.explode(F.slice("bands", first + 1, last - first)).alias("key"))
+    for filed, search in [(by_print, partial(_link_buckets, tau=RING.tau)), *[(b, _link_buckets) for b in by_band]]:
         if roots is None:
             filed = filed.withColumn("group", F.col("set"))
         else:
@@ -161,13 +182,13 @@ def _roots(marked: DataFrame, least: DataFrame, text_col: str, tile: int = TILE)
         named = F.when(end == 0, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
         tiles = materialize(tiles.select(named.alias("key"), "set", "group"), "near-tiles")
         dealt = joined(sets, tiles, "set").select("key", "set", "group", "shingles")
-        links = materialize(dealt.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_link_buckets, "a bigint, b bigint"), "near-links")
-        known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        linked = materialize(dealt.repartition("key").sortWithinPartitions("key", "set").mapInArrow(search, "a bigint, b bigint"), "near-links")
+        known = linked if roots is None else linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         before, roots = roots, components(known)
-        release(filed, once, members, listed, sets, tiles, links)
+        release(filed, once, members, listed, sets, tiles, linked)
         if before is not None:
             release(before)
-    release(banded)
+    release(banded, found, alike)
     return roots
 
 

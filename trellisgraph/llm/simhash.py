@@ -19,6 +19,8 @@ alternating star contraction over written tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,24 @@ TILE = 1 << 15
 SHORT = 8
 WIDTH = 3
 SEED = 42
-SEGMENT = 0xFFFF
+
+
+@dataclass(frozen=True)
+class Ring:
+    """A budget of differing bits and the equal segments of the ring; more segments than ``tau``, fewer than twice as many.
+
+    So a start segment is equal, and the next one differs in one bit at most: its key is the segment and an equal half of the
+    next, one for each half and segment. Keys of few bits hold many fingerprints that do not link: runs are then compared all
+    at once, and leave a forest only if more than twice as many pairs as members link.
+    """
+
+    tau: int = TAU
+    segments: int = 4
+    sparse: bool = False
+
+    @property
+    def width(self) -> int:
+        return 64 // self.segments
 
 
 def fingerprint(text: bytes) -> int:
@@ -48,7 +67,11 @@ def fingerprint(text: bytes) -> int:
     joined = b" ".join(words)
     starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[WIDTH:], strict=False)], np.uint64)
+    return majority(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[WIDTH:], strict=False)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes set."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         block = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -65,12 +88,12 @@ def _fingerprints():
     return lambda texts: {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
 
 
-def _chain_masks(rotation: int) -> list[tuple[np.uint64, int]]:
-    """(bits, budget) of the chains of two to four segments that start at this segment."""
+def _chain_masks(rotation: int, ring: Ring) -> list[tuple[np.uint64, int]]:
+    """(bits, budget) of the chains of two segments up to all that start at this segment."""
     masks, mask = [], 0
-    for length in range(1, 5):
-        mask |= SEGMENT << (16 * ((rotation + length - 1) % 4))
-        masks.append((np.uint64(mask), TAU * length // 4))
+    for length in range(1, ring.segments + 1):
+        mask |= (1 << ring.width) - 1 << (ring.width * ((rotation + length - 1) % ring.segments))
+        masks.append((np.uint64(mask), ring.tau * length // ring.segments))
     return masks[1:]
 
 
@@ -100,10 +123,28 @@ def _forest(fps: np.ndarray, masks: list[tuple[np.uint64, int]]) -> Iterator[tup
                     yield one, other
 
 
-def _link_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _few_links(fps: np.ndarray, masks: list[tuple[np.uint64, int]]) -> np.ndarray | None:
+    """All links of the fingerprints of one key, two a row; None if more than twice as many as members."""
+    found, total, step = [], 0, max(1, (1 << 17) // len(fps))
+    for at in range(0, len(fps), step):
+        near = np.bitwise_count(fps[at : at + step, None] ^ fps[None, at:]) <= masks[-1][1]
+        i, j = np.nonzero(near)
+        i, j = i[i < j], j[i < j]
+        diff = fps[at + i] ^ fps[at + j]
+        ok = np.ones(len(i), bool)
+        for mask, budget in masks:
+            ok &= np.bitwise_count(diff & mask) <= budget
+        found.append(np.column_stack([fps[at + i[ok]], fps[at + j[ok]]]))
+        total += len(found[-1])
+        if total > 2 * len(fps):
+            return None
+    return np.concatenate(found)
+
+
+def _link_keys(batches: Iterator[pa.RecordBatch], ring: Ring) -> Iterator[pa.RecordBatch]:
     """Turns (key, rotation, fp) batches, sorted by key, into links."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    all_masks = [_chain_masks(i) for i in range(4)]
+    all_masks = [_chain_masks(i, ring) for i in range(ring.segments)]
 
     def whole_runs(keys: np.ndarray, rotations: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
@@ -124,7 +165,10 @@ def _link_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             more = size > offset
             begin, size = begin[more], size[more]
         for start, size in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
-            found = np.array(list(_forest(fps[start : start + size], all_masks[rotations[start]])), np.uint64).reshape(-1, 2)
+            run, masks = fps[start : start + size], all_masks[rotations[start]]
+            found = _few_links(run, masks) if ring.sparse else None
+            if found is None:
+                found = np.array(list(_forest(run, masks)), np.uint64).reshape(-1, 2)
             yield found[:, 0], found[:, 1]
 
     def emit(columns: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -149,16 +193,16 @@ def _link_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit(waiting)
 
 
-def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, tile: int = TILE, ring: Ring = Ring()) -> DataFrame:
     """(a, b): links that span every component of the distinct values of column fp, as a written table."""
-    keys = []
-    for i in range(4):
-        segment = F.shiftrightunsigned("fp", 16 * i).bitwiseAND(SEGMENT)
-        after = 16 * ((i + 1) % 4)
+    keys, width, half_width = [], ring.width, ring.width // 2
+    for i in range(ring.segments):
+        segment = F.shiftrightunsigned("fp", width * i).bitwiseAND((1 << width) - 1)
+        after = width * ((i + 1) % ring.segments)
         for half in range(2):
-            part = F.shiftrightunsigned("fp", after + 8 * half).bitwiseAND(0xFF)
-            keys.append(F.lit(i << 25 | half << 24) + F.shiftleft(segment, 8) + part)
-    # Key: 2 bits of rotation (25, 26), the half (24), 16 bits of segment, 8 of the half segment.
+            part = F.shiftrightunsigned("fp", after + half_width * half).bitwiseAND((1 << half_width) - 1)
+            keys.append(F.lit(2 * i + half << width + half_width) + F.shiftleft(segment, half_width) + part)
+    # Key, from the top: rotation, the half, the segment, the half segment; at most 27 bits.
     filed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     # Hot keys are dealt before they are shuffled, into chunks of at most about half a tile; each pair of chunks meets in one
     # tile, in a task of its own. They are few: at most one for ``tile`` rows.
@@ -168,8 +212,8 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     dealt = dealt.select("fp", "key", "chunks", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("mine"), other.alias("other"))
     named = F.shiftleft(F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other"), 27) + F.col("key")
-    tiles = dealt.select(named.alias("key"), F.shiftright("key", 25).cast("int").alias("rotation"), "fp")
-    return materialize(tiles.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_keys, "a bigint, b bigint"), "simhash-links")
+    tiles = dealt.select(named.alias("key"), F.shiftright("key", width + half_width + 1).cast("int").alias("rotation"), "fp")
+    return materialize(tiles.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_link_keys, ring=ring), "a bigint, b bigint"), "simhash-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
