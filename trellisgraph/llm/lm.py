@@ -19,21 +19,21 @@ holds is as well.
 
 Scale: words are counted with task-side tables of bounded size, then summed by word. The ``FREQUENT`` most frequent words
 (a bounded list) are broadcast, so that no hot word is ever shuffled; the remaining words of each text are pre-counted
-per text and joined with the counts. Texts are coded once into a written table of symbols, which training and scoring read.
+per text and joined with the counts, without the rest of the text's row. Texts are coded once into a written table of symbols, which training and scoring read.
 Counts, training and scores cover all texts.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, bounded_batches, fold, materialize
@@ -61,6 +61,27 @@ def shared_symbol(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % SHARED
 
 
+@cache
+def _shared_by_end() -> tuple[np.ndarray, np.ndarray]:
+    """Shared symbols of words of one byte, and of those that end in two, by their value."""
+    one, two = ([shared_symbol(i.to_bytes(k)) for i in range(1 << 8 * k)] for k in (1, 2))
+    return np.array(one, np.int64), np.array(two, np.int64)
+
+
+def shared_symbols(words: pa.Array) -> np.ndarray:
+    """``shared_symbol`` of an array of words, none of them empty."""
+    one, two = _shared_by_end()
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    last = data[ends[1:] - 1].astype(np.int64)
+    return np.where(np.diff(ends) == 1, one[last], two[data[ends[1:] - 2].astype(np.int64) << 8 | last])
+
+
+def _bucket(word: str) -> Column:
+    """``shared_symbol`` of a column of words."""
+    return F.pmod(F.crc32(F.substring(word, -2, 2)), F.lit(SHARED)).cast("int")
+
+
 class LogBilinear:
     """P(symbol | two symbols before), in two factors. Context symbol ``start`` stands before a text."""
 
@@ -119,14 +140,14 @@ class LogBilinear:
 
         def errors(vectors: np.ndarray, noise: np.ndarray, rows: slice, chosen: np.ndarray) -> np.ndarray:
             """Gradient of the scores: what the noise expects, less the data."""
-            weight = NOISE * noise
+            with np.errstate(divide="ignore"):
+                inverse = 1 / (NOISE * noise)
             score = predicted[rows] @ -vectors.T
             np.exp(score, out=score)
-            score *= weight
-            score += 1
-            np.divide(weight, score, out=score)  # weight x chance that it is data
+            score += inverse
+            np.reciprocal(score, out=score)  # weight x chance that it is data
             at = np.arange(len(chosen))
-            score[at, chosen] -= 1 - score[at, chosen] / weight[chosen]
+            score[at, chosen] -= 1 - score[at, chosen] * inverse[chosen]
             return score
 
         d = errors(self.groups, self.group_noise, slice(None), group)
@@ -193,6 +214,19 @@ class LogBilinear:
         return out / np.float32(np.log(10))
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` all texts of a block, one after another, and where each text's begin, with the end of the last."""
+    texts = texts.cast(pa.binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+    data = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes().lower()
+    folded = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data)])
+    parts = pc.ascii_split_whitespace(folded)
+    words, begins = parts.values.cast(pa.binary()), parts.offsets.to_numpy()
+    some = pc.greater(pc.binary_length(words), 0)
+    kept = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    return words.filter(some), kept[begins]
+
+
 def _mapped(df: DataFrame, run, ddl: str) -> DataFrame:
     """mapInArrow over blocks of a batch."""
     bounded_batches(df.sparkSession)
@@ -214,28 +248,32 @@ def word_counts(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("total", pa.int64()), ("train", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = (Counter(), Counter())
+        tables: list[pa.RecordBatch] = []
 
-        def flush() -> pa.RecordBatch:
-            words = list(tables[0].keys() | tables[1].keys())
-            train = np.fromiter((tables[0].get(w, 0) for w in words), np.int64, len(words))
-            held = np.fromiter((tables[1].get(w, 0) for w in words), np.int64, len(words))
-            tables[0].clear()
-            tables[1].clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(train + held), pa.array(train)], schema=schema)
+        def merged() -> list[pa.RecordBatch]:
+            table = pa.Table.from_batches(tables, schema).group_by("word", use_threads=False).aggregate([("total", "sum"), ("train", "sum")])
+            return table.select(["word", "total_sum", "train_sum"]).rename_columns(schema.names).cast(schema).combine_chunks().to_batches()
 
         for block in parts:
-            for held, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                counts = tables[held]
-                counts.update(words_of(text))
-                counts[END] += 1
-            if len(tables[0]) + len(tables[1]) > TASK_WORDS:
-                yield flush()
-        if tables[0] or tables[1]:
-            yield flush()
+            words, begins = _words(block.column(1))
+            held = block.column(0).to_numpy(zero_copy_only=False)
+            found = words.dictionary_encode()
+            at, n = found.indices.to_numpy(), len(found.dictionary)
+            total, train = np.bincount(at, minlength=n), np.bincount(at[~np.repeat(held, np.diff(begins))], minlength=n)
+            ends = [pa.array([END], pa.binary()), pa.array([len(held)], pa.int64()), pa.array([int((~held).sum())], pa.int64())]
+            tables.append(pa.RecordBatch.from_arrays([found.dictionary, pa.array(total, pa.int64()), pa.array(train, pa.int64())], schema=schema))
+            tables.append(pa.RecordBatch.from_arrays(ends, schema=schema))
+            if sum(t.num_rows for t in tables) > 2 * TASK_WORDS:
+                tables = merged()
+                if sum(t.num_rows for t in tables) > TASK_WORDS:
+                    yield from tables
+                    tables = []
+        if tables:
+            yield from merged()
 
     counted = _mapped(rows.select("held_out", "text"), run, "word binary, total long, train long")
-    return counted.groupBy("word").agg(F.sum("total").alias("total"), F.sum("train").alias("train"))
+    # Few words are left twice in a task, so nothing is summed before the shuffle.
+    return counted.repartition("word").groupBy("word").agg(F.sum("total").alias("total"), F.sum("train").alias("train"))
 
 
 @dataclass
@@ -252,6 +290,10 @@ class Vocabulary:
     shared_v: np.ndarray
     unigram: np.ndarray
 
+    @cached_property
+    def listed(self) -> pa.Array:
+        return pa.array(list(self.words), pa.binary())
+
     def base_log10(self, c):
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
@@ -260,16 +302,13 @@ class Vocabulary:
         k = np.maximum(symbol - self.own, 0)
         return np.where(symbol < self.own, 0.0, np.log10((c + 0.5) / (self.shared_n[k] + 0.5 * (self.shared_v[k] + 1))))
 
-    def coded(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols of the tokens of a text, positions of the frequent ones (else -1), and the words that are not."""
-        tokens = words_of(text)
-        tokens.append(END)
-        at = np.fromiter(map(self.words.get, tokens, repeat(-1)), np.int64, len(tokens))
-        rare_at = np.flatnonzero(at < 0)
-        rare = [tokens[i] for i in rare_at.tolist()]
+    def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words, and positions of the frequent ones (else -1)."""
+        at = pc.index_in(words, value_set=self.listed).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         symbols = self.symbols[at]
-        symbols[rare_at] = [self.own + shared_symbol(w) for w in rare]
-        return symbols, at, rare
+        rare = np.flatnonzero(at < 0)
+        symbols[rare] = self.own + shared_symbols(words.take(pa.array(rare)))
+        return symbols, at
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
@@ -294,9 +333,8 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     symbols = np.array([len(own) + shared_symbol(w) for w in words], np.int64)
     symbols[own] = np.arange(len(own))
     known = counts.where("train > 0")
-    bucket = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(SHARED))
     shared_n, shared_v = np.zeros(SHARED), np.zeros(SHARED)
-    for k, total, distinct in known.groupBy(bucket.alias("k")).agg(F.sum("train"), F.count("*")).collect():
+    for k, total, distinct in known.groupBy(_bucket("word").alias("k")).agg(F.sum("train"), F.count("*")).collect():
         shared_n[k], shared_v[k] = total, distinct
     n, v = int(shared_n.sum()), int(shared_v.sum())
     for i in own:  # words of their own do not count among those that share
@@ -306,13 +344,13 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
 
 
 _CODED = [
-    ("row", "long", pa.int64()), ("id", "long", pa.int64()), ("held_out", "boolean", pa.bool_()), ("word", "binary", pa.binary()), ("times", "long", pa.int64()), ("k", "int", pa.int32()),
-    ("n_tokens", "long", pa.int64()), ("n_known", "long", pa.int64()), ("base", "double", pa.float64()), ("model", "double", pa.float64()), ("symbols", "binary", pa.binary()),
+    ("row", "long", pa.int64()), ("id", "long", pa.int64()), ("held_out", "boolean", pa.bool_()), ("n_tokens", "long", pa.int64()), ("n_known", "long", pa.int64()), ("base", "double", pa.float64()),
+    ("model", "double", pa.float64()), ("words", "array<binary>", pa.list_(pa.binary())), ("times", "array<long>", pa.list_(pa.int64())), ("symbols", "binary", pa.binary()),
 ]
 
 
 def code(rows: DataFrame, shared) -> DataFrame:
-    """One row for each text: its symbols, and sums over its frequent words; one more for each other word of it (word, times, k)."""
+    """One row for each text: its symbols, sums over its frequent words, and its other words with how often they occur."""
     schema = pa.schema([(name, kind) for name, _, kind in _CODED])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,22 +359,26 @@ def code(rows: DataFrame, shared) -> DataFrame:
         within = np.append(vocab.within_log10(vocab.train[:-1], vocab.symbols[:-1]), 0.0)
         known = np.append(vocab.train[:-1] > 0, False)
         for block in parts:
-            head, sums, coded, others = block.columns[:3], [], [], []
-            for text in block.column(3).to_pylist():
-                symbols, at, rare = vocab.coded(text)
-                coded.append(symbols.astype(np.uint16).tobytes())
-                sums.append((len(at), int(known[at].sum()), float(base[at].sum()), float(within[at].sum())))
-                others.append(Counter(rare))
-            n, nulls = len(coded), pa.nulls
-            columns = [*head, nulls(n, pa.binary()), nulls(n, pa.int64()), nulls(n, pa.int32()), *zip(*sums, strict=True), coded]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-            words = list(chain.from_iterable(others))
-            if not words:
-                continue
-            owner = np.repeat(head[0].to_numpy(), [len(o) for o in others])
-            m = len(words)
-            columns = [pa.array(owner), nulls(m, pa.int64()), nulls(m, pa.bool_()), words, list(chain.from_iterable(o.values() for o in others)), [shared_symbol(w) for w in words]]
-            columns += [np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m), nulls(m, pa.binary())]
+            words, begins = _words(block.column(3))
+            n = block.num_rows
+            found = words.dictionary_encode()
+            end = len(found.dictionary)
+            symbols, at = vocab.coded(pa.concat_arrays([found.dictionary, pa.array([END], pa.binary())]))
+            # Every text's words, then one end.
+            begins = begins + np.arange(n + 1)
+            tokens = np.full(begins[-1], end, np.int64)
+            inner = np.ones(len(tokens), bool)
+            inner[begins[1:] - 1] = False
+            tokens[inner] = found.indices.to_numpy()
+            sums = [np.add.reduceat(of[at][tokens], begins[:-1]) for of in (known.astype(np.int64), base, within)]
+            rare = np.flatnonzero((at < 0)[tokens])
+            owner = np.searchsorted(begins, rare, "right") - 1
+            each, times = np.unique(owner * (end + 1) + tokens[rare], return_counts=True)
+            cuts = pa.array(np.searchsorted(each, np.arange(n + 1) * (end + 1)).astype(np.int32))
+            others = found.dictionary.take(pa.array(each % (end + 1)))
+            coded = [None, pa.py_buffer((begins * 2).astype(np.int32)), pa.py_buffer(symbols[tokens].astype(np.uint16))]
+            columns = [*block.columns[:3], np.diff(begins), *sums, pa.ListArray.from_arrays(cuts, others), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64()))]
+            columns.append(pa.Array.from_buffers(pa.binary(), n, coded))
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return _mapped(rows, run, ", ".join(f"{name} {kind}" for name, kind, _ in _CODED))
@@ -386,7 +428,7 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counts = materialize(word_counts(rows), "lm-counts")
     vocab = vocabulary(counts)
     coded = materialize(code(rows, docs.sparkSession.sparkContext.broadcast(vocab)), "lm-coded")
-    return counts, vocab, coded, fit(coded.where("word is null and not held_out"), vocab)
+    return counts, vocab, coded, fit(coded.where("not held_out"), vocab)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,8 +438,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     counts, vocab, coded, fitted = trained(docs, id_col, text_col)
-    texts, model = coded.where("word is null"), spark.sparkContext.broadcast(fitted)
-    names = ["row", "id", "held_out", "word", "times", "k", "n_tokens", "n_known", "base", "model"]
+    model = spark.sparkContext.broadcast(fitted)
+    names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "model"]
     schema = pa.schema([(name, kind) for name, _, kind in _CODED if name in names])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,22 +448,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             sums = np.add.reduceat(model.value.log10(*tokens).astype(np.float64), begins)
             columns = block.columns[: len(names)]
             columns[-1] = pa.array(columns[-1].to_numpy() + sums)
-            # A text's own line: its key is no word, as words hold no space, and as spread as the rows are.
-            columns[3] = pa.array([b" %d" % row for row in columns[0].to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    scored = _mapped(texts.select(*names, "symbols"), run, ", ".join(f"{name} {kind}" for name, kind, _ in _CODED if name in names))
-    lines = scored.unionByName(coded.where("word is not null").select(*names))
+    scored = _mapped(coded.select(*names, "symbols"), run, ", ".join(f"{name} {kind}" for name, kind, _ in _CODED if name in names))
+    lines = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("line")).select("row", F.col("line.words").alias("word"), F.col("line.times").alias("times"))
     others = counts.where("train > 0").select("word", "train")
     joined = lines.join(others, "word", "left").withColumn("c", F.coalesce("train", F.lit(0)).cast("double"))
     weights = F.split(F.lit(",".join(repr(float(x)) for x in vocab.shared_n + 0.5 * (vocab.shared_v + 1))), ",").cast("array<double>")
     whole = float(vocab.n + 0.5 * (vocab.v + 1))
-    summed = joined.groupBy("row").agg(
-        F.max("id").alias("id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.coalesce("times", F.lit(0))).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("times") > 0, F.col("times") * F.log10((F.col("c") + 0.5) / whole)).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("model") + F.when(F.col("times") > 0, F.col("times") * F.log10((F.col("c") + 0.5) / F.get(weights, F.col("k")))).otherwise(0.0)).alias("score"),
+    each = joined.select(
+        "row",
+        F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("k"),
+        (F.col("times") * F.log10((F.col("c") + 0.5) / whole)).alias("b"),
+        (F.col("times") * F.log10((F.col("c") + 0.5) / F.get(weights, _bucket("word")))).alias("m"),
     )
+    # A text's words come from many tasks, so nothing is summed before the shuffle.
+    of_rare = each.repartition("row").groupBy("row").agg(*[F.sum(c).alias(c) for c in "kbm"])
+    summed = scored.join(of_rare, "row", "left").select("id", "held_out", "n_tokens", *[(F.col(c) + F.coalesce(x, F.lit(0))).alias(name) for c, x, name in (("n_known", "k", "n_known"), ("base", "b", "base_score"), ("model", "m", "score"))])
     return summed.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(vocab.n)).cast("long").alias("train_tokens"), "base_score", "score")
