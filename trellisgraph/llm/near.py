@@ -9,8 +9,8 @@ bit is set if more than half of the shingles' hashes set it, and by ``RING`` all
 ``simhash`` does; its groups are compared by exact similarity. No budget of bits that keys can search holds every link:
 sets at 0.8 differ by some 10 of 64 bits, up to 16 were measured. So links beyond the budget are searched after it. Every set
 has ``BANDS`` keys of ``ROWS`` MinHash values each; sets that share a key are compared. A pair of similarity s shares none with
-probability (1 - s^4)^32: 5e-8 at 0.8, less above it. Keys with the same members are compared once, and bands are taken in
-rounds: each compares only sets that are not in one group yet. Only texts that share a key have their sets sent along.
+probability (1 - s^4)^32: 5e-8 at 0.8, less above it. Keys with the same members are compared once, and
+only if they are not one group yet. Only texts that share a key have their sets sent along.
 
 Scale: the members of a key leave a spanning forest, never all pairs. Keys with more than ``TILE`` members are compared
 tile by tile in many tasks, which loses no link.
@@ -38,7 +38,7 @@ SIMILAR = (4, 5)
 RING = Ring(tau=7, segments=8, sparse=True)
 BANDS, ROWS = 32, 4
 #: Bands that are looked up together, first and last.
-ROUNDS = ((0, 1), (1, BANDS))
+ROUNDS = ((0, BANDS),)
 #: Members of one key that one task compares; more are dealt out as pairs of chunks.
 TILE = 1 << 15
 
