@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LISTED, materialize, per_text, picked, release, wrapped
+from .common import LISTED, as_task, materialize, per_text, picked, release, wrapped
 from .decontaminate import _mix, _shingle_hashes, _WordHashes
 from .simhash import Ring, components, links, majority
 
@@ -182,7 +182,7 @@ def _roots(marked: DataFrame, least: DataFrame, text_col: str, tile: int = TILE)
         named = F.when(end == 0, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
         tiles = materialize(tiles.select(named.alias("key"), "set", "group"), "near-tiles")
         dealt = joined(sets, tiles, "set").select("key", "set", "group", "shingles")
-        linked = materialize(dealt.repartition("key").sortWithinPartitions("key", "set").mapInArrow(search, "a bigint, b bigint"), "near-links")
+        linked = materialize(dealt.repartition("key").sortWithinPartitions("key", "set").mapInArrow(as_task(search, __name__), "a bigint, b bigint"), "near-links")
         known = linked if roots is None else linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         before, roots = roots, components(known)
         release(filed, once, members, listed, sets, tiles, linked)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import per_text
+from .common import FORGET, per_text
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -369,6 +369,9 @@ def _loaded(model: bytes) -> Transducer:
     return Transducer(model)
 
 
+FORGET[__name__] = _loaded.cache_clear
+
+
 def encode(docs: DataFrame, keep: list[str], model_file: str = DEFAULT_MODEL, text_col: str = "text") -> DataFrame:
     """``keep`` plus ids, n_tokens and decoded, for every row; null and empty texts have no ids and decode to ''.
 
