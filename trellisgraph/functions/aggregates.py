@@ -51,6 +51,12 @@ def aggregate(name: str, distinct: bool, arg: E | None) -> E:
     raise InvalidQuery(f"{name} is no aggregate")
 
 
+def counted_rows(arg: E | None, weight: str) -> E:
+    """COUNT over rows that each stand for as many as their weight; ``arg`` None means COUNT(*)."""
+    value = F.col(weight) if arg is None else F.when(arg.col.isNotNull(), F.col(weight))
+    return E(F.coalesce(F.sum(value), F.lit(0).cast("bigint")), "int")
+
+
 _EXACT = 1 << 53
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidQuery, UnsupportedFeature
-from ..functions.aggregates import aggregate, apart, beside
+from ..functions.aggregates import aggregate, apart, beside, counted_rows
 from ..functions.scalar import E, common_type, family, spark_type, type_name, widened
 from ..lang.nodes import Clause, Composite, Linear, Match, OptionalBlock, Page, Query, Result, walk
 from ..lang.parser import AGGREGATES
 from ..plans.binder import Context, bind, boolean, folded, has_aggregate, names_in
 from ..plans.scope import Element, GraphRef, PathValue, Scalar, Table, check_new, fresh, output
+from .counting import Counter, counted, counting_rows, read_later
 from .match import Matcher, optional, scan
 
 
@@ -127,10 +128,30 @@ class Runner:
         if tree.schema:
             self.session.check_schema(tree.schema)
         schema = tree.schema
+        if table.unit and not table.scope and counted(tree):
+            found = self.counts(tree, table, schema)
+            if found is not None:
+                return found
         for clause in tree.clauses:
             table = self.clause(clause, table, schema)
         return self.result(table, tree.result)
 
+    def counts(self, tree: Linear, table: Table, schema) -> Table | None:
+        """The result of a statement that only counts its matches, from weighted rows; none if too many edges are compared."""
+        res, graph, weight = counting_rows(tree.result, tree.clauses), self.graph, None
+        for i, clause in enumerate(tree.clauses):
+            if not isinstance(clause, Match):
+                table = self.clause(clause, table, schema)
+                continue
+            counter = Counter(self.matcher(clause), clause)
+            planned = counter.plan(set(table.scope))
+            if planned is None:
+                self.graph = graph
+                return None
+            rest = tree.clauses[i + 1 :]
+            table, weight = counter.run(table, weight, *planned, read_later(rest, res), any(isinstance(c, Match) for c in rest))
+        return self.grouped(table, res, self.named_items(res), weight)
+
     # Clauses
 
     def clause(self, clause, table: Table, schema=None) -> Table:
@@ -290,12 +311,7 @@ class Runner:
             if not table.scope:
                 raise InvalidQuery("there is nothing to return")
             items = [(("var", d), d) for d, _ in table.scope.values()]
-        named = []
-        for i, (ast, alias) in enumerate(items, 1):
-            name = alias or (ast[1] if ast[0] == "var" else f"column_{i}")
-            if name.lower() in {n.lower() for n, _ in named}:
-                raise InvalidQuery(f"column {name} is written twice")
-            named.append((name, ast))
+        named = self.named_items(replace(res, items=items))
         trees = [a for _, a in named] + ([res.having] if res.having else []) + [o.expr for o in res.page.order]
         if res.group is not None or any(has_aggregate(t) for t in trees):
             return self.grouped(table, res, named)
@@ -319,7 +335,19 @@ class Runner:
         ordered = self.page(ordered, res.page)
         return Table(ordered.df, scope).pruned()
 
-    def grouped(self, table: Table, res: Result, named: list) -> Table:
+    @staticmethod
+    def named_items(res: Result) -> list:
+        """(column name, expression) of a result's items."""
+        named = []
+        for i, (ast, alias) in enumerate(res.items, 1):
+            name = alias or (ast[1] if ast[0] == "var" else f"column_{i}")
+            if name.lower() in {n.lower() for n, _ in named}:
+                raise InvalidQuery(f"column {name} is written twice")
+            named.append((name, ast))
+        return named
+
+    def grouped(self, table: Table, res: Result, named: list, weight: str | None = None) -> Table:
+        """Groups of rows; with ``weight`` a row stands for as many rows as this column says, and all aggregates are counts."""
         aliases = {name.lower(): ast for name, ast in named}
 
         def expanded(ast):
@@ -380,14 +408,18 @@ class Runner:
             if apart(name, distinct, arg):
                 sides.append((name, distinct, arg, fraction, argument, column, key))
                 continue
-            made = aggregate(name, distinct, arg)
+            made = aggregate(name, distinct, arg) if weight is None else counted_rows(arg, weight)
             outputs.append(made.col.alias(column))
             binding = None
             if isinstance(made.type, tuple) and made.type[0] == "list" and isinstance(arg.binding, Element):
                 binding = Scalar(column, made.type, arg.binding.graph)
             known[key] = E(F.col(column), made.type, binding=binding)
         outputs += list(carried.values())
-        if by:
+        if by and weight is not None:
+            # What is taken off may leave nothing of a group.
+            total = fresh("total")
+            df = prepared.groupBy(*dict.fromkeys(by)).agg(*outputs, F.sum(weight).alias(total)).where(F.col(total) > 0).drop(total)
+        elif by:
             df = prepared.groupBy(*dict.fromkeys(by)).agg(*outputs) if outputs else prepared.select(*dict.fromkeys(by)).distinct()
         else:
             df = prepared.agg(*outputs) if outputs else prepared.agg(F.count(F.lit(1)).alias(fresh("n")))
